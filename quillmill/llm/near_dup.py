@@ -7,7 +7,7 @@ any two segments that differ in at most 2 bits have an index in common (tests ch
 differ in at most 32 bits agree so far in a segment at least, and mostly in several.
 
 An index alone has 4,096 values, too few for a large corpus.  So each segment's keys also carry two min-hashes, ``table = (segment, minhash, minhash)``:
-rows are shuffled once by that, and meet by equal index within it.  Pairs whose 128-bit sketches are far apart leave at once; the rest are verified
+rows are shuffled once by that, and meet by equal index within it.  Pairs whose 64-bit sketches are far apart leave at once; the rest are verified
 exactly on their texts.  Expected recall with 11 tables, of the probabilities J^2 x P(index in common | J): 0.985 at J = 0.7, 0.995 at 0.75, 0.9997 at 0.85.
 
 Copies are collapsed before and expanded after the search, so a group of copies of any size costs one fingerprint.
@@ -29,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, small
 from .unicode_form import code_points, consistent
 
 WIDTH, LEAST = 5, 0.7
 SEGMENTS, BITS, BINS = 11, 23, 256
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
-#: Sketches of 128 bits differ in (1 - J) / 2 of their bits, 19 +- 4 at J = 0.7; this is six deviations more.
-SKETCH_MOST = 44
+#: Sketches of 64 bits differ in (1 - J) / 2 of their bits, 9.6 +- 2.9 at J = 0.7; this is five deviations more.
+SKETCH_MOST = 24
+#: Most rows of two ids that are broadcast, 16 MB.
+BROADCAST_ROWS = 1_000_000
 SHORT = 96
 PART = 1 << 19
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,7 +153,7 @@ def _signatures(forms: list[str], width: int) -> np.ndarray:
 
 
 def fingerprints(forms: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table keys (n, 11), segments' codeword indices (n, 11, 6) and 128-bit sketches (n, 2) of compact texts."""
+    """Table keys (n, 11), segments' codeword indices (n, 11, 6) and 64-bit sketches (n) of compact texts."""
     low = _signatures(forms, width)
     mixed = _mix(low * np.uint64(0xD6E8FEB86659FD93) + np.arange(BINS, dtype=np.uint64)[None, :])
     bit = (mixed & np.uint64(1)).astype(np.int64)[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS)
@@ -159,8 +162,8 @@ def fingerprints(forms: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
     a = (np.arange(SEGMENTS) * BITS + 3 * BITS + 5) % BINS
     b = (np.arange(SEGMENTS) * BITS + 7 * BITS + 11) % BINS
     keys = _mix(_mix(mixed[:, a]) + mixed[:, b] + np.arange(SEGMENTS, dtype=np.uint64)[None, :])
-    second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::2].reshape(-1, 2, 64)
-    sketch = (second << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::4]
+    sketch = (second << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
     return keys.view(np.int64), indices, sketch.view(np.int64)
 
 
@@ -175,8 +178,8 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tables(width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column(0))
-            texts = b.column(1).to_pylist()
+            rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if s.strip()]
+            ids, texts = np.array([i for i, _ in rows], np.int64), [s for _, s in rows]
             for at in range(0, len(texts), 1024):
                 part = ids[at : at + 1024]
                 keys, indices, sketch = fingerprints(compact(texts[at : at + 1024]), width)
@@ -184,7 +187,7 @@ def _tables(width: int):  # noqa: ANN202
                 there = (indices >= 0).reshape(n * SEGMENTS, 6)
                 offsets = np.r_[0, np.cumsum(there.sum(1))].astype(np.int32)
                 values = indices.reshape(n * SEGMENTS, 6)[there].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, SEGMENTS)), pa.array(keys.reshape(-1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(np.repeat(sketch[:, 0], SEGMENTS)), pa.array(np.repeat(sketch[:, 1], SEGMENTS))], names=["id", "tab", "near", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, SEGMENTS)), pa.array(keys.reshape(-1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(np.repeat(sketch, SEGMENTS))], names=["id", "tab", "near", "sketch"])
 
     return run
 
@@ -223,27 +226,36 @@ def members(df: DataFrame, id_col: str = "ord", text_col: str = "text") -> DataF
 
 def candidate_pairs(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near."""
-    tab = texts.mapInArrow(_tables(width), "id bigint, tab bigint, near array<smallint>, s0 bigint, s1 bigint").repartition("tab")
-    near = tab.select("id", "tab", F.explode("near").alias("near"), "s0", "s1")
+    tab = texts.mapInArrow(_tables(width), "id bigint, tab bigint, near array<smallint>, sketch bigint").repartition("tab")
+    near = tab.select("id", "tab", F.explode("near").alias("near"), "sketch")
     x, y = near.alias("x"), near.alias("y")
-    far = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+    far = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
     on = (F.col("x.tab") == F.col("y.tab")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.id") < F.col("y.id")) & (far <= SKETCH_MOST)
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def similar_texts(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """``(a, b, similarity)`` of the distinct texts ``(id, text)`` whose sets of runs have at least ``least`` of their union in common."""
-    pairs = candidate_pairs(texts, width)
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, least), "a bigint, b bigint, similarity double")
+    """``(a, b, similarity)`` of the distinct texts ``(id, text)`` whose sets of runs have at least ``least`` of their union in common.
+
+    Candidate pairs are cut to a table.  Where they are few enough to broadcast, that is checked, only the texts that they name are shuffled; beyond
+    that, pairs and texts are joined by shuffle.
+    """
+    pairs = cut(candidate_pairs(texts, width))
+    text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    if small(pairs, BROADCAST_ROWS):
+        with_a = text_a.join(F.broadcast(pairs), "a")
+        text_b = text_b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    else:
+        with_a = pairs.join(text_a, "a")
+    return with_a.join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, least), "a bigint, b bigint, similarity double")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "ord", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, rep)`` of the groups of copies, and links ``(a, b, similarity)`` between their representatives: all there is, without the pairs of copies."""
-    of = members(df, id_col, text_col)
-    reps = of.where("id = rep").select("id")
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(reps, "id")
+    of = cut(members(df, id_col, text_col))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    copies = of.where("id <> rep").select("id")
+    texts = texts.join(F.broadcast(copies) if small(copies, BROADCAST_ROWS) else copies, "id", "left_anti")
     return of, similar_texts(texts, width, least)
 
 
