@@ -23,8 +23,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "chunk"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .encode import encode_corpus
+
+    return encode_corpus(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
