@@ -88,7 +88,7 @@ def _run_hashes(cp: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(cp.size, np.uint64)
     for k in range(width):
         part = np.zeros(cp.size, np.uint64)
-        part[: cp.size - k or None] = cp[k:] if k else cp
+        part[: max(cp.size - k, 0)] = cp[k:]
         h = h * np.uint64(0x9E3779B97F4A7C15) + part
     return _mix(h)
 
@@ -179,14 +179,17 @@ def _tables(width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if s.strip()]
-            ids, texts = np.array([i for i, _ in rows], np.int64), [s for _, s in rows]
-            for at in range(0, len(texts), 1024):
-                part = ids[at : at + 1024]
-                keys, indices, sketch = fingerprints(compact(texts[at : at + 1024]), width)
+            for at in range(0, len(rows), 1024):
+                turn = rows[at : at + 1024]
+                there = [(i, f) for (i, _), f in zip(turn, compact([s for _, s in turn]), strict=True) if f]  # of invisible characters only, nothing is left
+                if not there:
+                    continue
+                part = np.array([i for i, _ in there], np.int64)
+                keys, indices, sketch = fingerprints([f for _, f in there], width)
                 n = part.size
-                there = (indices >= 0).reshape(n * SEGMENTS, 6)
-                offsets = np.r_[0, np.cumsum(there.sum(1))].astype(np.int32)
-                values = indices.reshape(n * SEGMENTS, 6)[there].astype(np.int16)
+                used = (indices >= 0).reshape(n * SEGMENTS, 6)
+                offsets = np.r_[0, np.cumsum(used.sum(1))].astype(np.int32)
+                values = indices.reshape(n * SEGMENTS, 6)[used].astype(np.int16)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, SEGMENTS)), pa.array(keys.reshape(-1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(np.repeat(sketch, SEGMENTS))], names=["id", "tab", "near", "sketch"])
 
     return run

@@ -1,0 +1,23 @@
+"""near_duplicate_pairs against the definition of p1_found, worked out by brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from quillmill.llm.near_dup import LEAST, WIDTH, compact, near_duplicate_pairs
+
+
+def brute(rows: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
+    there = [(i, s) for i, s in rows if s is not None]
+    sets = [(i, {f[k : k + WIDTH] for k in range(max(len(f) - WIDTH + 1, 1))}) for (i, _), f in zip(there, compact([s for _, s in there]), strict=True) if f]
+    return {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) >= LEAST * len(x | y)}
+
+
+def found(spark: SparkSession, rows: list[tuple[int, str | None]]) -> list[tuple[int, int]]:
+    return sorted(map(tuple, near_duplicate_pairs(spark.createDataFrame(rows, "ord bigint, text string")).collect()))
+
+
+def test_short_blank_and_invisible_texts(spark: SparkSession) -> None:
+    texts = [None, "", " ", "​", "​‍", "a", "a​", "A", "ab", "abc", "abcd", "abcd", "abcde", "a b c d e", "abcdef"]
+    rows = list(enumerate(texts))
+    assert found(spark, rows) == sorted(brute(rows))
