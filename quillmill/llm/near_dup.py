@@ -40,7 +40,8 @@ GOLAY = 0b101011100011
 SKETCH_MOST = 24
 #: Most rows of two ids that are broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
-SHORT = 96
+#: From so many distinct runs on, one hash of each run is enough for all bins.
+FEW = 96
 PART = 1 << 19
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -98,47 +99,39 @@ def compact(texts: list[str]) -> list[str]:
     return ["".join(s.lower().split()) for s in consistent(texts)]
 
 
-def _signatures(forms: list[str], width: int) -> np.ndarray:
-    """Min-hashes of each text, one for each of BINS bins: one hash of each run, which falls into one bin; empty bins are filled from others, chosen by hash."""
-    low = np.full(len(forms) * BINS, EMPTY)
-    short = []
+def _turns(forms: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Run hashes of all texts in turns of bounded size: the text's place, and the hash."""
     ids: list[int] = []
     parts: list[str] = []
 
-    def turn() -> None:
-        if not ids:
-            return
+    def turn() -> tuple[np.ndarray, np.ndarray]:
         cp, size = code_points(parts)
         h = _run_hashes(cp, width)
         begin = np.cumsum(size) - size
         row = np.repeat(np.arange(size.size), size)
         inside = np.arange(cp.size) - begin[row] <= np.maximum(size - width, 0)[row]
-        slot = np.asarray(ids)[row[inside]] * BINS + (h[inside] >> np.uint64(56)).astype(np.int64)
-        np.minimum.at(low, slot, h[inside] & np.uint64((1 << 56) - 1))
-        ids.clear(), parts.clear()
+        return np.asarray(ids)[row[inside]], h[inside]
 
     held = 0
     for i, s in enumerate(forms):
-        if len(s) < SHORT + width:
-            short.append(i)
+        if len(s) < width:  # its only run ends with the text, whatever stands behind
+            if s:
+                yield np.full(1, i), _run_hashes(code_points([s])[0], width)[:1]
             continue
         for at in range(0, len(s) - width + 1, PART):
             part = s[at : at + PART + width - 1]
-            if held + len(part) > PART:
-                turn()
-                held = 0
+            if ids and held + len(part) > PART:
+                yield turn()
+                ids, parts, held = [], [], 0
             ids.append(i)
             parts.append(part)
             held += len(part)
-    turn()
-    low = low.reshape(-1, BINS)
-    if short:  # few runs: a min-hash by a function of its own for each bin
-        seeds = _mix(np.arange(1, BINS + 1, dtype=np.uint64))
-        for i in short:
-            s = forms[i]
-            cp, _ = code_points([s])
-            h = _run_hashes(cp, width)[: max(len(s) - width + 1, 1)]
-            low[i] = _mix(h[:, None] ^ seeds[None, :]).min(0) >> np.uint64(8)
+    if ids:
+        yield turn()
+
+
+def _filled(low: np.ndarray) -> np.ndarray:
+    """Empty bins take the min-hash of another bin of their row, chosen by hash."""
     empty = low == EMPTY
     full = ~empty
     for turn_no in range(1, 200):
@@ -152,19 +145,48 @@ def _signatures(forms: list[str], width: int) -> np.ndarray:
     return low
 
 
-def fingerprints(forms: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table keys (n, 11), segments' codeword indices (n, 11, 6) and 64-bit sketches (n) of compact texts."""
-    low = _signatures(forms, width)
+def _signatures(forms: list[str], width: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each of two families, the places of its texts and their BINS min-hashes.
+
+    Texts of FEW distinct runs and more: one hash of each run, which falls into one bin.  Texts of up to FEW / ``least`` distinct runs: a function of its
+    own for each bin, as few runs would leave most bins empty.  Two texts of resemblance ``least`` or more are both in the first family where the larger
+    has more than FEW / ``least`` runs, for then the other has more than FEW, and both in the second where it hasn't; so they always have one in common.
+    """
+    low = np.full(len(forms) * BINS, EMPTY)
+    for i, h in _turns(forms, width):
+        np.minimum.at(low, i * BINS + (h >> np.uint64(56)).astype(np.int64), h & np.uint64((1 << 56) - 1))
+    low = low.reshape(-1, BINS)
+    runs = (low != EMPTY).sum(1)  # at most the number of distinct runs, which is counted where it may be small
+    check = np.flatnonzero((runs > 0) & (runs * least <= FEW + 1e-9))
+    distinct: list[np.ndarray] = [np.zeros(0, np.uint64)] * check.size
+    for i, h in _turns([forms[k] for k in check], width):
+        order = np.argsort(i, kind="stable")
+        i, h = i[order], h[order]
+        for part in np.split(np.arange(i.size), np.flatnonzero(np.diff(i)) + 1):
+            distinct[i[part[0]]] = np.unique(np.r_[distinct[i[part[0]]], h[part]])
+    runs[check] = [d.size for d in distinct]
+    binned = np.flatnonzero(runs >= FEW)
+    few = [k for k in range(check.size) if runs[check[k]] * least <= FEW + 1e-9]
+    seeds = _mix(np.arange(1, BINS + 1, dtype=np.uint64))
+    own = np.array([_mix(distinct[k][:, None] ^ seeds[None, :]).min(0) >> np.uint64(8) for k in few], np.uint64).reshape(-1, BINS)
+    return [(binned, _filled(low[binned])), (check[few] if few else check[:0], own)]
+
+
+def fingerprints(forms: list[str], width: int = WIDTH, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of compact texts (n), one or two of each, with table keys (n, 11), segments' codeword indices (n, 11, 6) and 64-bit sketches (n)."""
+    families = _signatures(forms, width, least)
+    low = np.concatenate([x for _, x in families])
+    family = np.repeat(np.arange(2, dtype=np.uint64), [i.size for i, _ in families])
     mixed = _mix(low * np.uint64(0xD6E8FEB86659FD93) + np.arange(BINS, dtype=np.uint64)[None, :])
     bit = (mixed & np.uint64(1)).astype(np.int64)[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS)
     words = (bit << np.arange(BITS)).sum(2)
     indices = codeword_indices(words.reshape(-1)).reshape(-1, SEGMENTS, 6)
     a = (np.arange(SEGMENTS) * BITS + 3 * BITS + 5) % BINS
     b = (np.arange(SEGMENTS) * BITS + 7 * BITS + 11) % BINS
-    keys = _mix(_mix(mixed[:, a]) + mixed[:, b] + np.arange(SEGMENTS, dtype=np.uint64)[None, :])
+    keys = _mix(_mix(mixed[:, a]) + mixed[:, b] + np.arange(SEGMENTS, dtype=np.uint64)[None, :] + family[:, None] * np.uint64(SEGMENTS))
     second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::4]
     sketch = (second << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return keys.view(np.int64), indices, sketch.view(np.int64)
+    return np.concatenate([i for i, _ in families]), keys.view(np.int64), indices, sketch.view(np.int64)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +197,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([h for _, h in kept], pa.binary())], names=["id", "form"])
 
 
-def _tables(width: int):  # noqa: ANN202
+def _tables(width: int, least: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if s.strip()]
@@ -184,8 +206,8 @@ def _tables(width: int):  # noqa: ANN202
                 there = [(i, f) for (i, _), f in zip(turn, compact([s for _, s in turn]), strict=True) if f]  # of invisible characters only, nothing is left
                 if not there:
                     continue
-                part = np.array([i for i, _ in there], np.int64)
-                keys, indices, sketch = fingerprints([f for _, f in there], width)
+                which, keys, indices, sketch = fingerprints([f for _, f in there], width, least)
+                part = np.array([i for i, _ in there], np.int64)[which]
                 n = part.size
                 used = (indices >= 0).reshape(n * SEGMENTS, 6)
                 offsets = np.r_[0, np.cumsum(used.sum(1))].astype(np.int32)
@@ -227,9 +249,9 @@ def members(df: DataFrame, id_col: str = "ord", text_col: str = "text") -> DataF
     return forms.join(forms.groupBy("form").agg(F.min("id").alias("rep")), "form").select("id", "rep")
 
 
-def candidate_pairs(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+def candidate_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near."""
-    tab = texts.mapInArrow(_tables(width), "id bigint, tab bigint, near array<smallint>, sketch bigint").repartition("tab")
+    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab bigint, near array<smallint>, sketch bigint").repartition("tab")
     near = tab.select("id", "tab", F.explode("near").alias("near"), "sketch")
     x, y = near.alias("x"), near.alias("y")
     far = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
@@ -243,7 +265,7 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     Candidate pairs are cut to a table.  Where they are few enough to broadcast, that is checked, only the texts that they name are shuffled; beyond
     that, pairs and texts are joined by shuffle.
     """
-    pairs = cut(candidate_pairs(texts, width))
+    pairs = cut(candidate_pairs(texts, width, least))
     text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     if small(pairs, BROADCAST_ROWS):
         with_a = text_a.join(F.broadcast(pairs), "a")

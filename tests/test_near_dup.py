@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import SparkSession
 
 from quillmill.llm.near_dup import LEAST, WIDTH, compact, near_duplicate_pairs
@@ -21,3 +23,20 @@ def test_short_blank_and_invisible_texts(spark: SparkSession) -> None:
     texts = [None, "", " ", "​", "​‍", "a", "a​", "A", "ab", "abc", "abcd", "abcd", "abcde", "a b c d e", "abcdef"]
     rows = list(enumerate(texts))
     assert found(spark, rows) == sorted(brute(rows))
+
+
+def letters(rng: random.Random, size: int) -> str:
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+
+
+def test_pairs_on_both_sides_of_every_border_of_length(spark: SparkSession) -> None:
+    rng = random.Random(1)
+    texts = []
+    for size, longer in [(95, 105)] * 20 + [(99, 100), (100, 101), (101, 102), (136, 137), (137, 138), (141, 142), (135, 150), (60, 70), (200, 220)] * 4:
+        text = letters(rng, size)
+        texts += [text, text + letters(rng, longer - size)]
+    texts += [texts[0] * 3, texts[0] * 40]  # long, with few distinct runs
+    rows = list(enumerate(texts))
+    expected = brute(rows)
+    assert len(expected) == 61
+    assert found(spark, rows) == sorted(expected)
