@@ -7,8 +7,10 @@ any two segments that differ in at most 2 bits have an index in common (tests ch
 differ in at most 32 bits agree so far in a segment at least, and mostly in several.
 
 An index alone has 4,096 values, too few for a large corpus.  So each segment's keys also carry two min-hashes, ``table = (segment, minhash, minhash)``:
-rows are shuffled once by that, and meet by equal index within it.  Pairs whose 64-bit sketches are far apart leave at once; the rest are verified
-exactly on their texts.  Expected recall with 11 tables, of the probabilities J^2 x P(index in common | J): 0.985 at J = 0.7, 0.995 at 0.75, 0.9997 at 0.85.
+rows are shuffled once by that, and meet by equal index within it.  That gives up the pigeonhole guarantee, as a segment only counts with probability J^2.
+To make up for it, every text gets three fingerprints of different bits of its min-hashes, so 33 tables.  With P(index in common | J = 0.7) = 0.604 the
+loss, (1 - J^2 P)^33 if tables were independent, is 1e-5 at J = 0.7 (0.02 with 11 tables) and less above.  Pairs whose 128-bit sketches are far apart
+leave at once; the rest are verified exactly on their texts.
 
 Copies are collapsed before and expanded after the search, so a group of copies of any size costs one fingerprint.
 
@@ -34,10 +36,13 @@ from .unicode_form import code_points, consistent
 
 WIDTH, LEAST = 5, 0.7
 SEGMENTS, BITS, BINS = 11, 23, 256
+#: Fingerprints of each text, of different bits of its min-hashes.
+ROUNDS = 3
+TABLES = ROUNDS * SEGMENTS
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
-#: Sketches of 64 bits differ in (1 - J) / 2 of their bits, 9.6 +- 2.9 at J = 0.7; this is five deviations more.
-SKETCH_MOST = 24
+#: Sketches of 128 bits differ in (1 - J) / 2 of their bits, 19.2 +- 3.7 at J = 0.7; this is over six deviations more, as few runs make it vary more.
+SKETCH_MOST = 44
 #: Most rows of two ids that are broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
 #: From so many distinct runs on, one hash of each run is enough for all bins.
@@ -172,21 +177,30 @@ def _signatures(forms: list[str], width: int, least: float) -> list[tuple[np.nda
     return [(binned, _filled(low[binned])), (check[few] if few else check[:0], own)]
 
 
+@lru_cache(1)
+def _orders() -> np.ndarray:
+    """The order of the bins in each round; in the first they follow each other."""
+    return np.array([np.arange(BINS) if k == 0 else np.argsort(_mix(np.arange(BINS, dtype=np.uint64) + np.uint64(k << 32))) for k in range(ROUNDS)])
+
+
 def fingerprints(forms: list[str], width: int = WIDTH, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of compact texts (n), one or two of each, with table keys (n, 11), segments' codeword indices (n, 11, 6) and 64-bit sketches (n)."""
+    """Places of compact texts (n), one or two of each, with table keys (n, 33), segments' codeword indices (n, 33, 6) and 128-bit sketches (n, 2)."""
     families = _signatures(forms, width, least)
     low = np.concatenate([x for _, x in families])
     family = np.repeat(np.arange(2, dtype=np.uint64), [i.size for i, _ in families])
     mixed = _mix(low * np.uint64(0xD6E8FEB86659FD93) + np.arange(BINS, dtype=np.uint64)[None, :])
-    bit = (mixed & np.uint64(1)).astype(np.int64)[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS)
-    words = (bit << np.arange(BITS)).sum(2)
-    indices = codeword_indices(words.reshape(-1)).reshape(-1, SEGMENTS, 6)
-    a = (np.arange(SEGMENTS) * BITS + 3 * BITS + 5) % BINS
-    b = (np.arange(SEGMENTS) * BITS + 7 * BITS + 11) % BINS
-    keys = _mix(_mix(mixed[:, a]) + mixed[:, b] + np.arange(SEGMENTS, dtype=np.uint64)[None, :] + family[:, None] * np.uint64(SEGMENTS))
-    second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::4]
-    sketch = (second << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return np.concatenate([i for i, _ in families]), keys.view(np.int64), indices, sketch.view(np.int64)
+    indices, keys = np.empty((len(low), TABLES, 6), np.int64), np.empty((len(low), TABLES), np.uint64)
+    for k in range(ROUNDS):  # the first bit of each min-hash, then the third and so on, of bins in another order
+        order = _orders()[k]
+        bit = (mixed >> np.uint64(k and k + 1) & np.uint64(1)).astype(np.int64)[:, order[: SEGMENTS * BITS]].reshape(-1, SEGMENTS, BITS)
+        words = (bit << np.arange(BITS)).sum(2)
+        at = np.arange(SEGMENTS)
+        indices[:, k * SEGMENTS + at] = codeword_indices(words.reshape(-1)).reshape(-1, SEGMENTS, 6)
+        a, b = order[(at * BITS + 3 * BITS + 5) % BINS], order[(at * BITS + 7 * BITS + 11) % BINS]
+        keys[:, k * SEGMENTS + at] = _mix(_mix(mixed[:, a]) + mixed[:, b] + (k * SEGMENTS + at).astype(np.uint64)[None, :] + family[:, None] * np.uint64(TABLES))
+    second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::2].reshape(-1, 64, 2)
+    sketch = (second << np.arange(64, dtype=np.uint64)[None, :, None]).sum(1, dtype=np.uint64)
+    return np.concatenate([i for i, _ in families]), keys.view(np.int64) >> 32, indices, sketch.view(np.int64)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +223,10 @@ def _tables(width: int, least: float):  # noqa: ANN202
                 which, keys, indices, sketch = fingerprints([f for _, f in there], width, least)
                 part = np.array([i for i, _ in there], np.int64)[which]
                 n = part.size
-                used = (indices >= 0).reshape(n * SEGMENTS, 6)
+                used = (indices >= 0).reshape(n * TABLES, 6)
                 offsets = np.r_[0, np.cumsum(used.sum(1))].astype(np.int32)
-                values = indices.reshape(n * SEGMENTS, 6)[used].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, SEGMENTS)), pa.array(keys.reshape(-1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(np.repeat(sketch, SEGMENTS))], names=["id", "tab", "near", "sketch"])
+                values = indices.reshape(n * TABLES, 6)[used].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, TABLES)), pa.array(keys.reshape(-1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.repeat(sketch[:, k], TABLES)) for k in range(2))], names=["id", "tab", "near", "s", "t"])
 
     return run
 
@@ -251,10 +265,10 @@ def members(df: DataFrame, id_col: str = "ord", text_col: str = "text") -> DataF
 
 def candidate_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near."""
-    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab bigint, near array<smallint>, sketch bigint").repartition("tab")
-    near = tab.select("id", "tab", F.explode("near").alias("near"), "sketch")
+    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab int, near array<smallint>, s bigint, t bigint").repartition(ROUNDS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tab")
+    near = tab.select("id", "tab", F.explode("near").alias("near"), "s", "t")
     x, y = near.alias("x"), near.alias("y")
-    far = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    far = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
     on = (F.col("x.tab") == F.col("y.tab")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.id") < F.col("y.id")) & (far <= SKETCH_MOST)
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
@@ -265,7 +279,13 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     Candidate pairs are cut to a table.  Where they are few enough to broadcast, that is checked, only the texts that they name are shuffled; beyond
     that, pairs and texts are joined by shuffle.
     """
-    pairs = cut(candidate_pairs(texts, width, least))
+    conf, key = texts.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    was = conf.get(key)
+    conf.set(key, "false")  # rows that lie together by table aren't shuffled again by table and index
+    try:
+        pairs = cut(candidate_pairs(texts, width, least))
+    finally:
+        conf.set(key, was)
     text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     if small(pairs, BROADCAST_ROWS):
         with_a = text_a.join(F.broadcast(pairs), "a")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import SparkSession
 
-from quillmill.llm.near_dup import LEAST, WIDTH, compact, near_duplicate_pairs
+from quillmill.llm.near_dup import BITS, LEAST, SKETCH_MOST, WIDTH, codeword_indices, compact, fingerprints, near_duplicate_pairs
 
 
 def brute(rows: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
@@ -40,3 +41,31 @@ def test_pairs_on_both_sides_of_every_border_of_length(spark: SparkSession) -> N
     expected = brute(rows)
     assert len(expected) == 61
     assert found(spark, rows) == sorted(expected)
+
+
+def test_segments_that_differ_in_two_bits_have_an_index_in_common() -> None:
+    errors = [0, *(1 << a | 1 << b for a in range(BITS) for b in range(a + 1))]
+    words = np.arange(1 << 11)  # one of each coset; a codeword added to both segments changes all indices alike
+    near = codeword_indices(words)
+    for e in errors:
+        other = codeword_indices(words ^ e)
+        assert ((near[:, :, None] == other[:, None, :]) & (near >= 0)[:, :, None]).any((1, 2)).all()
+
+
+def test_no_pair_at_the_threshold_is_lost() -> None:
+    rng = random.Random(2)
+    letter = [chr(0x4E00 + k) for k in range(3000)]
+    texts, size = [], 1000
+    for _ in range(600):
+        text = [rng.choice(letter) for _ in range(size)]
+        other = text[:]
+        for k in range(35):  # each change takes five runs: J = 825 / 1172
+            other[28 * k + 10] = "a"
+        texts += ["".join(text), "".join(other)]
+    which, keys, indices, sketch = fingerprints(texts)
+    assert which.tolist() == list(range(1200))
+    met = 0
+    for a in range(0, 1200, 2):
+        table = (keys[a] == keys[a + 1])[:, None, None] & (indices[a][:, :, None] == indices[a + 1][:, None, :]) & (indices[a] >= 0)[:, :, None]
+        met += bool(table.any()) and int(np.bitwise_count((sketch[a] ^ sketch[a + 1]).view(np.uint64)).sum()) <= SKETCH_MOST
+    assert met == 600
