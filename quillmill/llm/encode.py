@@ -175,6 +175,8 @@ def _assemble(vocabulary: str):  # noqa: ANN202
                 for _, s, shared in turn:
                     parts, last = [], 0
                     for x in sorted(shared or (), key=lambda x: x["start"]):
+                        if x["start"] < last:  # again, of a repeated row
+                            continue
                         if x["start"] > last:
                             parts.append((last, x["start"], None))
                         last = x["start"] + x["size"]
@@ -191,11 +193,11 @@ def _assemble(vocabulary: str):  # noqa: ANN202
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, mean: int = MEAN) -> DataFrame:
-    """``(id, ids)`` of each row.  The id must be unique; a power of two is the mean length of a chunk."""
+    """``(id, ids)`` of each row.  Rows of one id must be repeats of one row; a power of two is the mean length of a chunk."""
     docs = df.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text")).repartition("row")
     found = df.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text")).mapInArrow(_occurrences(mean), "row bigint, start bigint, size bigint, key binary")
     owner = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "size")).alias("o")).where("n > 1").select("key", F.col("o.row").alias("row"), F.col("o.start").alias("start"), F.col("o.size").alias("size"))
     owned = owner.groupBy("row").agg(F.collect_list(F.struct("start", "size", "key")).alias("owned"))
-    ids = docs.join(owned, "row").select("text", "owned").mapInArrow(_encode_owned(vocabulary), "key binary, ids binary")
+    ids = docs.join(owned, "row").select("text", "owned").mapInArrow(_encode_owned(vocabulary), "key binary, ids binary").dropDuplicates(["key"])
     shared = found.join(ids, "key").groupBy("row").agg(F.collect_list(F.struct("start", "size", "ids")).alias("shared"))
     return docs.join(shared, "row", "left").select("row", "text", "shared").mapInArrow(_assemble(vocabulary), "row bigint, ids array<int>").withColumnRenamed("row", id_col)
