@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
+
 #: Letters of other scripts that are drawn like Latin ones, and the Latin letters they are read as.
 LOOK_ALIKE = {
     "АВЕЗКМНОРСТХУЅІЈԌԚԜӀҮ": "ABE3KMHOPCTXYSIJGQWIY",
@@ -60,6 +62,18 @@ def _compat_target(ch: str) -> str | None:
     return None
 
 
+def _drawn_as(ch: str) -> str:
+    """What one character is read as, canonically decomposed: compatibility and look-alike mappings are applied to the bases until nothing changes."""
+    letters = {x: y for a, b in LOOK_ALIKE.items() for x, y in zip(a, b, strict=True)}
+    out = ud.normalize("NFD", ch)
+    for _ in range(4):
+        new = "".join(ud.normalize("NFD", "-" if c in HYPHENS else letters.get(c) or _compat_target(c) or c) for c in out)
+        if new == out:
+            break
+        out = new
+    return out
+
+
 @lru_cache(1)
 def tables() -> dict[str, np.ndarray]:
     """Lookup columns by code point, and the sorted pairs of canonical composition."""
@@ -72,10 +86,13 @@ def tables() -> dict[str, np.ndarray]:
         ch = chr(cp)
         ccc[cp], cat, parts, target = ud.combining(ch), ud.category(ch), ud.decomposition(ch).split(), None
         pictograph[cp] = cat in ("So", "Sk") and cp > 0x2000
-        if parts:
+        if parts or ch in HYPHENS or any(ch in a for a in LOOK_ALIKE):
             canonical = ud.normalize("NFC", ch)
-            target = canonical if canonical != ch else _compat_target(ch)
-            if canonical == ch and parts[0][0] != "<":
+            drawn = _drawn_as(ch)
+            target = ud.normalize("NFC", drawn) if drawn != ud.normalize("NFD", ch) else canonical
+            if target != canonical and any(ud.combining(c) for c in drawn):
+                target = drawn  # composed below with the marks that follow it
+            if canonical == ch and parts and parts[0][0] != "<":
                 whole[cp], many[cp] = True, ud.normalize("NFD", ch)
                 if len(parts) == 2:
                     pairs[int(parts[0], 16), int(parts[1], 16)] = cp
@@ -83,17 +100,12 @@ def tables() -> dict[str, np.ndarray]:
             kind[cp] = JOINER if cp in (0x200C, 0x200D) else DROP
         elif 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp:
             kind[cp] = SELECTOR
-        elif ch in HYPHENS:
-            kind[cp], one[cp] = ONE, ord("-")
         elif target is not None and target != ch:
             if len(target) == 1:
                 kind[cp], one[cp] = ONE, ord(target)
             else:
                 kind[cp], many[cp] = MANY, ud.normalize("NFD", target)
         trigger[cp] = kind[cp] != KEEP or ccc[cp] > 0 or cat == "Mn" or 0x1100 <= cp < 0x1200
-    for a, b in LOOK_ALIKE.items():
-        for x, y in zip(a, b, strict=True):
-            kind[ord(x)], one[ord(x)], trigger[ord(x)] = ONE, ord(y), True
     kind[ord("\r")], one[ord("\r")], trigger[ord("\r")] = ONE, ord("\n"), True
     for first, last in ((0x0600, 0x08FF), (0x0900, 0x0DFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1800, 0x18AF)):
         joining[first : last + 1] = True
@@ -187,8 +199,14 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple
         cp, row, ccc = cp[left], row[left], t["ccc"][cp[left]]
 
 
+def _apart(x: str, y: str) -> bool:
+    """Whether nothing in the form of ``y`` depends on ``x``: both are plain, and ``y`` is neither a mark nor composes with what stands before it."""
+    t = tables()
+    return not t["trigger"][ord(x)] and not t["trigger"][ord(y)] and not 0xAC00 <= ord(x) < 0xD7A4 and not t["joining"][ord(x)] and not t["pictograph"][ord(x)] and not t["pictograph"][ord(y)] and y != "\n"
+
+
 def _windows(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows in turns of about WINDOW characters; a longer row comes in parts cut before a plain ASCII letter, digit or space."""
+    """Rows in turns of about WINDOW characters; a longer row comes in parts cut between two plain characters."""
     ids: list[int] = []
     parts: list[str] = []
     size = 0
@@ -196,9 +214,12 @@ def _windows(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         at = 0
         while len(s) - at > WINDOW:
             end = at + WINDOW
-            while end > at + 1 and not (s[end].isascii() and s[end] != "\n" and s[end - 1].isascii() or s[end] == "。"):
+            while end > at + 1 and not _apart(s[end - 1], s[end]):
                 end -= 1
-            end = end if end > at + 1 else at + WINDOW
+            if end == at + 1:  # nowhere in the whole window: look ahead
+                end = at + WINDOW
+                while end < len(s) and not _apart(s[end - 1], s[end]):
+                    end += 1
             yield [i], [s[at:end]]
             at = end
         if size + len(s) - at > WINDOW and ids:
@@ -270,18 +291,38 @@ def form_keys(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     return df.select(id_col, *fields).mapInArrow(_forms(fields), "id bigint, field string, form binary, stored binary")
 
 
+#: Salts of the join that finds the rows of forms with several spellings.
+SALTS = 16
+#: Rows of a group that one task pairs with the rest of the group at a time.
+BLOCK = 4096
+
+
+def look_alike_rows(df: DataFrame, id_col: str = "ord", per_row: tuple[str, ...] = ("text",), per_value: tuple[str, ...] = ("title",)) -> DataFrame:
+    """``(id, field, form, stored, n)``: the members of every class of strings that look the same but are stored in more than one way.
+
+    ``form`` is the class, ``stored`` the spelling within it, ``n`` the number of rows of the class.  Keys are hashes, computed once and cut to the shared
+    folder.  Copies are counted together before any key is joined, and the join to the classes is salted, so that a form with a third of all rows is spread
+    over SALTS tasks.
+    """
+    keys = cut(form_keys(df, id_col, per_row + per_value))
+    spelt = keys.groupBy("field", "form", "stored").agg(F.count("*").alias("n"))
+    mixed = spelt.groupBy("field", "form").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")).where("spellings > 1")
+    mixed = mixed.select("field", "form", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(mixed, ["field", "form", "salt"])
+    each = F.when(F.col("field").isin(list(per_row)), F.col("id"))
+    return rows.groupBy("field", "form", "stored", "n", each.alias("row")).agg(F.min("id").alias("id")).select("id", "field", "form", "stored", "n")
+
+
 def look_alike_pairs(df: DataFrame, id_col: str = "ord", per_row: tuple[str, ...] = ("text",), per_value: tuple[str, ...] = ("title",)) -> DataFrame:
     """Pairs ``(ord_a, ord_b, field)`` of rows whose fields look the same but are stored differently.
 
     Fields of ``per_row`` give a pair for each two such rows.  Those of ``per_value`` stand once for each stored string, by its smallest id.  Null and
     blank strings give nothing.  Only hashes are shuffled; forms of one spelling leave before the join, so copies of one string, however many, meet nothing.
+    A large class is paired in blocks: its rows as first partner fall into one block for each BLOCK of them, and the class stands once in each block.
     """
-    keys = form_keys(df, id_col, per_row + per_value)
-    value = F.col("field").isin(list(per_value))
-    once = keys.where(value).groupBy("field", "form", "stored").agg(F.min("id").alias("id"))
-    all_keys = keys.where(~value).select("id", "field", "form", "stored").unionByName(once.select("id", "field", "form", "stored"))
-    mixed = all_keys.groupBy("field", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("field", "form")
-    rows = all_keys.join(mixed, ["field", "form"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.stored") != F.col("b.stored")) & (F.col("a.id") < F.col("b.id"))
+    rows = cut(look_alike_rows(df, id_col, per_row, per_value))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    a = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("a")
+    b = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("b")
+    on = (F.col("a.field") == F.col("b.field")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.stored") != F.col("b.stored")) & (F.col("a.id") < F.col("b.id"))
     return a.join(b, on).select(F.col("a.id").alias("ord_a"), F.col("b.id").alias("ord_b"), F.col("a.field").alias("field"))
