@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, small
+from ..plans.lineage import cut
 from .unicode_form import code_points, consistent
 
 WIDTH, LEAST = 5, 0.7
@@ -232,24 +232,29 @@ def _tables(width: int, least: float):  # noqa: ANN202
 
 
 def _verify(width: int, least: float):  # noqa: ANN202
-    def runs(s: str) -> set[str]:
-        return {s[i : i + width] for i in range(max(len(s) - width + 1, 1))}
+    """Exact similarity: each text of a batch is hashed once, and pairs compare sets of 64-bit run hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set[str]] = (None, set())
-        for b in batches:
+        for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
             a_ids, b_ids, texts_a, texts_b = (b.column(k).to_pylist() for k in range(4))
             known = dict(zip(a_ids, texts_a, strict=True))
             known |= dict(zip(b_ids, texts_b, strict=True))
-            forms = dict(zip(known, compact(list(known.values())), strict=True))
+            place = {i: k for k, i in enumerate(known)}
+            runs: list[set[int]] = [set() for _ in known]
+            for i, h in _turns(compact(list(known.values())), width):
+                order = np.argsort(i, kind="stable")
+                i, h = i[order], h[order]
+                ends = np.r_[np.flatnonzero(np.diff(i)) + 1, i.size].tolist()
+                at = 0
+                for end in ends:
+                    runs[i[at]].update(h[at:end].tolist())
+                    at = end
             out_a, out_b, out_j = [], [], []
             for x, y in zip(a_ids, b_ids, strict=True):
-                if last[0] != x:
-                    last = (x, runs(forms[x]))
-                other = runs(forms[y])
-                if len(other) * least <= len(last[1]) + 1e-9 and len(last[1]) * least <= len(other) + 1e-9:
-                    common = len(last[1] & other)
-                    j = common / (len(last[1]) + len(other) - common)
+                one, other = runs[place[x]], runs[place[y]]
+                if len(other) * least <= len(one) + 1e-9 and len(one) * least <= len(other) + 1e-9:
+                    common = len(one & other)
+                    j = common / (len(one) + len(other) - common)
                     if j >= least - 1e-12:
                         out_a.append(x), out_b.append(y), out_j.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], names=["a", "b", "similarity"])
@@ -263,6 +268,11 @@ def members(df: DataFrame, id_col: str = "ord", text_col: str = "text") -> DataF
     return forms.join(forms.groupBy("form").agg(F.min("id").alias("rep")), "form").select("id", "rep")
 
 
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df``, best a table that was cut, has at most ``rows`` rows; reads no more than needed to tell."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def candidate_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near."""
     tab = texts.mapInArrow(_tables(width, least), "id bigint, tab int, near array<smallint>, s bigint, t bigint").repartition(ROUNDS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tab")
