@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_table(spark, sf_dir, "chunk"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .split import split_text
+
+    return split_text(_table(spark, sf_dir, "chunk"), "ord").where("piece_no = 1").select(F.col("id").alias("ord"), "field")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .split import split_text
+
+    return split_text(_table(spark, sf_dir, "chunk"), "ord").withColumnRenamed("id", "ord")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .unicode_form import look_alike_pairs
 
@@ -29,9 +42,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .leakage import leaked_items
+
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p6_ids": p6_ids}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p5_found, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+            SELECT ord, 'text' AS field FROM chunk WHERE length(text) > 720
+            UNION ALL SELECT ord, 'section' AS field FROM chunk WHERE length(section) > 120""",
+    }
