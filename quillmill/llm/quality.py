@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .garbled import examine
 from .unicode_form import code_points
 
 PART, PARTS_A_STEP = 1 << 16, 64
@@ -224,49 +225,56 @@ def common_words(df: DataFrame) -> Words:
     return frozenset(w for w in found if not CJK.search(w)), tuple(w for w in found if CJK.search(w))
 
 
-def _vectors(keys: int, words: Words):  # noqa: ANN202
+#: Whether a text, or a part of it, is damaged; also gets the counts where the text is whole.
+Damage = Callable[[str, np.ndarray | None], bool]
+
+
+def _vectors(keys: int, words: Words, damage: Damage | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [vector(s or "", words) for s in b.column(keys).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.select(range(keys)).columns, pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names[:keys], "counts"])
+            texts = [s or "" for s in b.column(keys).to_pylist()]
+            found = [vector(s, words) for s in texts]
+            damaged = [damage is not None and damage(s, v) for s, v in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.select(range(keys)).columns, pa.array(found, pa.list_(pa.float64())), pa.array(damaged, pa.bool_())], names=[*b.schema.names[:keys], "counts", "damaged"])
 
     return run
 
 
-def _part_rows(keys: int, words: Words, size: int):  # noqa: ANN202
+def _part_rows(keys: int, words: Words, size: int, damage: Damage | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, s in enumerate(b.column(keys).to_pylist()):
-                states = [Counts.of(x, words).dump() for x in parts(s, size)]
-                yield pa.RecordBatch.from_arrays([*b.select(range(keys)).take(pa.array([r] * len(states))).columns, pa.array(range(len(states)), pa.int64()), pa.array(states, pa.binary())], names=[*b.schema.names[:keys], "part", "state"])
+                for k, x in enumerate(parts(s, size)):
+                    values = (pa.array([k], pa.int64()), pa.array([Counts.of(x, words).dump()], pa.binary()), pa.array([damage is not None and damage(x, None)], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*b.select(range(keys)).slice(r, 1).columns, *values], names=[*b.schema.names[:keys], "part", "state", "damaged"])
 
     return run
 
 
-def counts(df: DataFrame, id_col: str, text_col: str, words: Words, size: int = PART) -> DataFrame:
-    """``(id, counts)`` of every row; counts are the sums of SUMS and LINE and the longest word."""
+def counts(df: DataFrame, id_col: str, text_col: str, words: Words, size: int = PART, damage: Damage | None = None) -> DataFrame:
+    """``(id, counts, damaged)`` of every row; counts are the sums of SUMS and LINE and the longest word."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    near = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= size).mapInArrow(_vectors(1, words), f"id {kind}, counts array<double>")
+    near = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= size).mapInArrow(_vectors(1, words, damage), f"id {kind}, counts array<double>, damaged boolean")
     far = rows.where(F.length("text") > size).select("id", F.monotonically_increasing_id().alias("row"), "text")
-    schema = f"id {kind}, row bigint, part bigint, state binary"
-    states = far.mapInArrow(_part_rows(2, words, size), schema)
+    schema = f"id {kind}, row bigint, part bigint, state binary, damaged boolean"
+    states = far.mapInArrow(_part_rows(2, words, size, damage), schema)
 
     def step(key, group):  # noqa: ANN001, ANN202
         group = group.sort_values("part")
         state = Counts.load(group["state"].iloc[0])
         for raw in group["state"].iloc[1:]:
             state = state.merge(Counts.load(raw), words)
-        return group.iloc[:1].assign(part=key[2], state=state.dump())[["id", "row", "part", "state"]]
+        return group.iloc[:1].assign(part=key[2], state=state.dump(), damaged=bool(group["damaged"].any()))[["id", "row", "part", "state", "damaged"]]
 
     for _ in range(ROUNDS):
         states = states.groupBy("id", "row", F.floor(F.col("part") / PARTS_A_STEP).alias("step")).applyInPandas(step, schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([Counts.load(x).vector() for x in b.column(3).to_pylist()], pa.list_(pa.float64()))], names=["id", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([Counts.load(x).vector() for x in b.column(3).to_pylist()], pa.list_(pa.float64())), b.column(4)], names=["id", "counts", "damaged"])
 
-    return near.unionByName(states.mapInArrow(finish, f"id {kind}, counts array<double>"))
+    return near.unionByName(states.mapInArrow(finish, f"id {kind}, counts array<double>, damaged boolean"))
 
 
 def labelled_model(df: DataFrame, labels: DataFrame, words: Words, id_col: str = "ord", text_col: str = "text", kind_col: str = "kind", most: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,4 +302,20 @@ def text_quality(df: DataFrame, words: Words, model: tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), share(get["word_chars"], n), share(get["symbols"], visible), share(get["ended"], lines), share(get["common"], n), prose], names=["id", "words", "mean_word_length", "symbol_share", "ended_line_share", "common_word_share", "prose"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return counts(df, id_col, text_col, words).mapInArrow(derive, f"id {kind}, words bigint, mean_word_length double, symbol_share double, ended_line_share double, common_word_share double, prose boolean")
+    return counts(df, id_col, text_col, words).select("id", "counts").mapInArrow(derive, f"id {kind}, words bigint, mean_word_length double, symbol_share double, ended_line_share double, common_word_share double, prose boolean")
+
+
+def not_prose(df: DataFrame, words: Words, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "ord", text_col: str = "text") -> DataFrame:
+    """``(id)`` of the rows whose text isn't natural prose, without blank texts and those that a wrong encoding garbled (problem 2)."""
+
+    def damage(text: str, v: np.ndarray | None) -> bool:
+        return (v is None or score(ratios(v[None]), model)[0] <= 0) and bool(text.strip()) and examine(text)[0]
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(SUMS) + len(LINE) + 1)
+            keep = (v[:, 0] > v[:, 1]) & (score(ratios(v), model) <= 0)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], names=["id"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return counts(df, id_col, text_col, words, damage=damage).where("NOT damaged").select("id", "counts").mapInArrow(other, f"id {kind}")

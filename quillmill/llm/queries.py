@@ -18,6 +18,39 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_table(spark, sf_dir, "chunk"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .garbled import garbled_rows
+
+    found = [garbled_rows(_table(spark, sf_dir, t), i, c, up).select(F.lit(t).alias("tbl"), F.col("id").alias("row_id")) for t, i, c, up in (("chunk", "ord", "text", False), ("upload_request", "upload_id", "content_base64", True))]
+    return found[0].unionByName(found[1])
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .garbled import garbled_rows
+
+    return garbled_rows(_table(spark, sf_dir, "chunk"), "ord", "text").withColumnRenamed("id", "ord")
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import common_words, labelled_model, text_quality
+
+    chunk = _table(spark, sf_dir, "chunk")
+    words = common_words(_table(spark, sf_dir, "common_word"))
+    return text_quality(chunk, words, labelled_model(chunk, _table(spark, sf_dir, "chunk_label"), words))
+
+
+def p4_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).withColumnRenamed("id", "ord")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import common_words, labelled_model, not_prose
+
+    chunk = _table(spark, sf_dir, "chunk")
+    words = common_words(_table(spark, sf_dir, "common_word"))
+    return not_prose(chunk, words, labelled_model(chunk, _table(spark, sf_dir, "chunk_label"), words)).withColumnRenamed("id", "ord")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .split import split_text
 
@@ -49,7 +82,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p5_found, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_pieces, p4_found, p4_measures, p5_found, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
