@@ -366,9 +366,9 @@ def read_upload(payload: str | None) -> tuple[str | None, bool, bytes]:
     return raw.decode("utf-8", "ignore"), True, raw
 
 
-def _from_bytes(raw: bytes, text: str) -> str:
-    """The text that the bytes give in the encoding of least cost, if that is less than the cost of ``text``."""
-    best, least = text, cost(text) + 4 * len(CONTROL.findall(text))
+def _from_bytes(raw: bytes, text: str, left_out: bool) -> str:
+    """The text that the bytes give in the encoding of least cost, if that is less than the cost of ``text`` and of bytes left out of it."""
+    best, least = text, cost(text) + 4 * len(CONTROL.findall(text)) + (4 * (len(raw) - len(text.encode("utf-8", "surrogatepass"))) if left_out else 0)
     for encoding in ("utf-16", *(("utf-16-le", "utf-16-be") if b"\0" in raw else ()), "cp1252", "big5hkscs", "cp932"):
         try:
             new = raw.decode(encoding)
@@ -391,7 +391,7 @@ def _examine(uploads: bool):  # noqa: ANN202
                     continue
                 garbled, lost, restored, trips = examine(s)
                 if garbled or left_out:
-                    if uploads and (new := _from_bytes(raw, restored)) != restored:
+                    if uploads and (new := _from_bytes(raw, restored, left_out)) != restored:
                         restored, trips, lost, left_out = new, "bytes", False, False
                     kept.append(r)
                     found.append((restored, trips, lost or left_out))
