@@ -81,8 +81,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .residue import residue_documents
+
+    return residue_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_pieces, p4_found, p4_measures, p5_found, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_pieces, p4_found, p4_measures, p5_found, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
