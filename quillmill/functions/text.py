@@ -109,7 +109,7 @@ def between(c: Column, starts: list[str], ends: list[str], limit: int) -> Column
     """From the first of the start marks to the first end mark behind it, else ``limit`` characters; empty without a start mark."""
     line = strip(F.regexp_replace(c, f"{SPACE}+", " "))
     start = F.array_min(F.filter(F.array(*(F.locate(m, line) for m in starts)), lambda x: x > 0))
-    behind = F.array_min(F.filter(F.array(*(F.locate(F.lit(m), line, start + 1) for m in ends)), lambda x: x > 0))
+    behind = F.array_min(F.filter(F.array(*(F.call_function("locate", F.lit(m), line, start + 1) for m in ends)), lambda x: x > 0))
     stop = F.coalesce(behind, start + limit)
     return F.when(start.isNull(), F.lit("")).otherwise(compact(F.substring(line, start, stop - start), limit))
 

@@ -121,8 +121,8 @@ MATCH = f"""
     match AS (SELECT query_id, ord, kw / len(terms) AS kw, least(1.0, tt / 3.0) AS tt FROM (
         SELECT query_id, ord, terms, {HELD.format(x="tx")} AS kw, {HELD.format(x="nm")} AS tt FROM (SELECT ord, coalesce(text, '') AS tx, {NAMES} AS nm FROM chunk), q WHERE len(terms) > 0) WHERE kw > 0 OR tt > 0)"""
 HYBRID = """
-    both AS (SELECT query_id, ord, coalesce(v, 0) AS v, coalesce(kw, 0) AS kw, coalesce(tt, 0) AS tt, v IS NOT NULL AS is_vector FROM vec FULL JOIN match USING (query_id, ord)),
-    blend AS (SELECT *, 0.72 * v + 0.20 * kw + 0.08 * tt AS s FROM both JOIN q USING (query_id)),
+    pool AS (SELECT query_id, ord, coalesce(v, 0) AS v, coalesce(kw, 0) AS kw, coalesce(tt, 0) AS tt, v IS NOT NULL AS is_vector FROM vec FULL JOIN match USING (query_id, ord)),
+    blend AS (SELECT *, 0.72 * v + 0.20 * kw + 0.08 * tt AS s FROM pool JOIN q USING (query_id)),
     stage AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, is_vector DESC, round(v, 9) DESC, ord) AS first_place FROM blend) WHERE first_place <= greatest(3 * k, 10))"""
 RERANK = f"""
     bonus AS (SELECT stage.*, chunk.id, doc_id, title, section, source, text, s + least(0.08, 0.015 * len(list_intersect(terms, {_terms("coalesce(text, '')")})))
@@ -166,6 +166,10 @@ ROUTED = f"""WITH c_tf AS (SELECT n, intent, term, count(*) AS tf FROM (SELECT n
     best AS (SELECT query_id, intent AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, n) AS r FROM sc) WHERE r = 1),
     chosen AS (SELECT query_id, query, coalesce({RULED}, nearest, 'rag_answer') AS intent FROM qs LEFT JOIN best USING (query_id))
     SELECT query_id, query, intent, round(coalesce(score, 0), 6) AS confidence FROM chosen LEFT JOIN sc USING (query_id, intent)"""
+STEP = f"(?:^|{W})\\d+[.、．]{W}*([^。；;]{{12,120}})"
+STEPS = f"list_filter(list_transform(regexp_extract_all(regexp_replace(text, '{W}+', ' ', 'g'), '{STEP}', 1), lambda s: {_compact('s', 110)}), lambda s: NOT regexp_matches(s, '{'|'.join(T.STEP_NOISE)}'))"
+MARKED = _strip(f"regexp_replace(text, '{W}+', ' ', 'g')")
+STARTS, STOPS = _list(("实验原理", "Lab principle", "Procedure")), _list(("操作步骤", "思考题", "Questions", "##"))
 PAYLOAD = f"regexp_replace(CASE WHEN starts_with(lower({_strip('content_base64')}), 'data:') AND contains(content_base64, ',') THEN content_base64[strpos(content_base64, ',') + 1:] ELSE content_base64 END, '[\\r\\n]', '', 'g')"
 
 SQL = {
@@ -231,6 +235,12 @@ SQL = {
     "weak_points": f"SELECT query_id, array_to_string(coalesce(c, ['资料理解不完整', '概念边界不清晰']), '|') AS points FROM ({HIT_QUERIES}) LEFT JOIN ({_concept_lists(5, 5)}) USING (query_id)",
     "summaries": f"""SELECT query_id, points, array_to_string(c, '|') AS concepts, sections FROM ({HIT_QUERIES}) LEFT JOIN (SELECT query_id, string_agg(point, '|' ORDER BY n) AS points FROM ({KEY_POINTS}) GROUP BY 1) USING (query_id)
         LEFT JOIN ({_concept_lists(5, 8)}) USING (query_id) LEFT JOIN (SELECT query_id, coalesce(string_agg(section, '|' ORDER BY place), '') AS sections FROM ({GIVEN}) WHERE place <= 4 GROUP BY 1) USING (query_id)""",
+    "numbered_steps": f"SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(g) + 1), lambda i: list_position(g, g[i]) = i)[1:7], lambda i: g[i]), '|'), '') AS steps FROM (SELECT doc_id, {STEPS} AS g FROM documents WHERE text IS NOT NULL)",
+    "between_markers": f"""WITH l AS (SELECT doc_id, {MARKED} AS l FROM documents WHERE text IS NOT NULL),
+        a AS (SELECT *, list_min(list_filter(list_transform({STARTS}, lambda m: strpos(l, m)), lambda p: p > 0)) AS a FROM l),
+        b AS (SELECT *, list_min(list_filter(list_transform({STOPS}, lambda m: CASE WHEN strpos(l[a + 1:], m) > 0 THEN a + strpos(l[a + 1:], m) ELSE 0 END), lambda p: p > 0)) AS b FROM a),
+        c AS (SELECT doc_id, a, substring(l, a, coalesce(b, a + 420) - a) AS c FROM b)
+        SELECT doc_id, CASE WHEN a IS NULL THEN '' ELSE {_compact("c", 420)} END AS part FROM c""",
     "retrieval_quality": f"""WITH h AS ({GIVEN}), b AS (SELECT query_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS r FROM h) WHERE r = 1),
         f AS (SELECT query_id, min(place) AS place FROM h JOIN b USING (query_id, ord) WHERE place <= 6 GROUP BY 1)
         SELECT count(*) AS queries, round(avg(CASE WHEN place IS NULL THEN 0 ELSE 1 END), 6) AS hit_rate, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM b LEFT JOIN f USING (query_id)""",
