@@ -92,9 +92,9 @@ def sentences(c: Column) -> Column:
 
 
 def requested_count(c: Column, default: int = 5, most: int = 10) -> Column:
-    """How many questions a request asks for."""
+    """How many questions a request asks for; ``default`` where it gives no number, also for null."""
     number = F.regexp_extract(c, rf"(\d+){SPACE}*(道|个)?{SPACE}*(选择题|判断题|练习题|题目|题)", 1)
-    return F.when(number == "", F.lit(default)).otherwise(F.least(F.lit(most), F.greatest(F.lit(1), F.try_to_number(F.substring(number, 1, 9), F.lit("999999999")).cast("int"))))
+    return F.when(F.coalesce(number, F.lit("")) == "", F.lit(default)).otherwise(F.least(F.lit(most), F.greatest(F.lit(1), F.try_to_number(F.substring(number, 1, 9), F.lit("999999999")).cast("int"))))
 
 
 def numbered_steps(c: Column, limit: int = 7) -> Column:

@@ -36,6 +36,7 @@ def value(spark: SparkSession, c: Column) -> object:
         (lambda: T.requested_count(F.lit("出 0 道选择题")), 1),
         (lambda: T.requested_count(F.lit("99个题目")), 10),
         (lambda: T.requested_count(F.lit("随便")), 5),
+        (lambda: T.requested_count(F.lit(None).cast("string")), 5),
         (lambda: T.numbered_steps(F.lit("1. 打开终端并进入工作目录里面 2、运行节点然后检查输出的话题。3. 成绩写到实验报告里面不要忘记 1. 打开终端并进入工作目录里面")), ["打开终端并进入工作目录里面 2、运行节点然后检查输出的话题", "打开终端并进入工作目录里面"]),
         (lambda: T.between(F.lit("前言 实验原理 甲乙丙 操作步骤 丁"), ["实验原理"], ["操作步骤"], 100), "实验原理 甲乙丙"),
         (lambda: T.between(F.lit("none"), ["x"], ["y"], 9), ""),
