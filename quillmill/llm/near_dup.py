@@ -45,6 +45,8 @@ GOLAY = 0b101011100011
 SKETCH_MOST = 44
 #: Most rows of two ids that are broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: Most rows of one table that a task pairs in memory.
+GROUP = 20_000
 #: From so many distinct runs on, one hash of each run is enough for all bins.
 FEW = 96
 PART = 1 << 19
@@ -273,14 +275,91 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _pairs_within(tab: np.ndarray, ids: np.ndarray, size: np.ndarray, near: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that share a table key and a codeword index, and whose sketches are near."""
+    key = np.repeat(tab.astype(np.int64) << 12, size) | near
+    row = np.repeat(np.arange(ids.size), size)
+    order = np.argsort(key)
+    key, row = key[order], row[order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[begin, key.size])
+    left = np.repeat(begin + count, count) - np.arange(key.size)  # members from here to the end of the group
+    at = np.flatnonzero(left > 1)
+    found: list[np.ndarray] = []
+    step = 1
+    while at.size:
+        x, y = row[at], row[at + step]
+        close = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= SKETCH_MOST
+        x, y = ids[x[close]], ids[y[close]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
+        step += 1
+        at = at[left[at] > step]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+PAIR_SCHEMA = "a bigint, b bigint, id bigint, tab int, near array<smallint>, s bigint, t bigint"
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by table key to pairs.  A table of more than GROUP rows is handed on as it is, so that no task holds more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("tab", pa.int32()), ("near", pa.list_(pa.int16())), ("s", pa.int64()), ("t", pa.int64())])
+    names = ["id", "tab", "near", "s", "t"]
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        near = rows["near"].combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        values = near.flatten().to_numpy().astype(np.int64)
+        sketch = np.stack([rows["s"].to_numpy(), rows["t"].to_numpy()], 1).view(np.uint64)
+        a, b = _pairs_within(rows["tab"].to_numpy(), rows["id"].to_numpy(), near.value_lengths().to_numpy().astype(np.int64), values, sketch)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(a.size, t) for t in schema.types[2:])], schema=schema)
+
+    def handed_on(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in rows.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 2 + [b.column(n).cast(schema.field(n).type) for n in names], schema=schema)
+
+    held: pa.Table | None = None
+    hot: int | None = None
+    for b in batches:
+        rows = pa.Table.from_batches([b]).select(names)
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        tab = rows["tab"].to_numpy()
+        if hot is not None:
+            end = int(np.searchsorted(tab, hot, "right"))
+            yield from handed_on(rows.slice(0, end))
+            rows, tab = rows.slice(end), tab[end:]
+            if not tab.size:
+                held = None
+                continue
+            hot = None
+        last = int(np.searchsorted(tab, tab[-1], "left"))
+        if last:
+            yield pairs(rows.slice(0, last))
+        held = rows.slice(last)
+        if held.num_rows > GROUP:
+            hot = int(tab[-1])
+            yield from handed_on(held)
+            held = None
+    if held is not None and held.num_rows:
+        yield pairs(held)
+
+
 def candidate_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near."""
-    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab int, near array<smallint>, s bigint, t bigint").repartition(ROUNDS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tab")
-    near = tab.select("id", "tab", F.explode("near").alias("near"), "s", "t")
+    """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near.
+
+    Rows are shuffled once, by table key, and paired within it; codeword indices are only unfolded in memory.  Rows of tables that are too large for that are
+    unfolded and joined by both, which spreads them over as many tasks as there are indices.
+    """
+    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab int, near array<smallint>, s bigint, t bigint")
+    tab = tab.repartition(ROUNDS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tab").sortWithinPartitions("tab")
+    found = cut(tab.mapInArrow(_paired, PAIR_SCHEMA))
+    near = found.where("id IS NOT NULL").select("id", "tab", F.explode("near").alias("near"), "s", "t")
     x, y = near.alias("x"), near.alias("y")
     far = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
     on = (F.col("x.tab") == F.col("y.tab")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.id") < F.col("y.id")) & (far <= SKETCH_MOST)
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    hot = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return found.where("a IS NOT NULL").select("a", "b").unionByName(hot).distinct()
 
 
 def similar_texts(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -289,13 +368,7 @@ def similar_texts(texts: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     Candidate pairs are cut to a table.  Where they are few enough to broadcast, that is checked, only the texts that they name are shuffled; beyond
     that, pairs and texts are joined by shuffle.
     """
-    conf, key = texts.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    was = conf.get(key)
-    conf.set(key, "false")  # rows that lie together by table aren't shuffled again by table and index
-    try:
-        pairs = cut(candidate_pairs(texts, width, least))
-    finally:
-        conf.set(key, was)
+    pairs = cut(candidate_pairs(texts, width, least))
     text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     if small(pairs, BROADCAST_ROWS):
         with_a = text_a.join(F.broadcast(pairs), "a")

@@ -69,3 +69,24 @@ def test_no_pair_at_the_threshold_is_lost() -> None:
         table = (keys[a] == keys[a + 1])[:, None, None] & (indices[a][:, :, None] == indices[a + 1][:, None, :]) & (indices[a] >= 0)[:, :, None]
         met += bool(table.any()) and int(np.bitwise_count((sketch[a] ^ sketch[a + 1]).view(np.uint64)).sum()) <= SKETCH_MOST
     assert met == 600
+
+
+def test_tables_beyond_the_bound_are_joined(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    rng = random.Random(5)
+    base = letters(rng, 300)
+    rows = [(k, base[: 10 + k] + "x" + base[12 + k :]) for k in range(0, 120, 2)] + [(k, letters(rng, 80)) for k in range(200, 260)]
+    assert found(spark, rows) == sorted(brute(rows))
+    monkeypatch.setattr("quillmill.llm.near_dup.GROUP", 5)
+    from quillmill.llm import near_dup
+
+    table = spark.createDataFrame(rows, "id bigint, text string")
+    batches = [b for b in near_dup._tables(5, 0.7)(iter(table.toArrow().to_batches()))]
+    import pyarrow as pa
+
+    every = pa.Table.from_batches(batches).sort_by("tab")
+    handed = sum(b.num_rows - b.column(0).null_count == 0 and b.num_rows for b in near_dup._paired(iter(every.to_batches(max_chunksize=50))))
+    assert handed > 0
+    pairs = {(x, y) for b in near_dup._paired(iter(every.to_batches(max_chunksize=50))) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x is not None}
+    monkeypatch.setattr("quillmill.llm.near_dup.GROUP", 10**9)
+    whole = {(x, y) for b in near_dup._paired(iter(every.to_batches(max_chunksize=50))) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert pairs < whole
