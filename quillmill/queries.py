@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, ingest, memory, route, search, study, tfidf, vectors
+from .operators import answer, catalog, ingest, memory, route, search, study, tfidf, vectors
 from .plans.lineage import cut
 from .queries_sql import SQL
 from .sources import uploads
@@ -296,6 +296,22 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.retrieval_quality(hits, best).select("queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+@query
+def asked_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).where("query IS NOT NULL").select("query_id", answer.asked_concept(F.col("query")).alias("concept"))
+
+
+@query
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.explanations(given_hits(spark, sf_dir), hit_queries(spark, sf_dir))
+
+
+@query
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = answer.answered(spark, chunks(spark, sf_dir), asked(spark, sf_dir, 100), table(spark, sf_dir, "session_message"))
+    return found.withColumn("confidence", F.round("confidence", 6)).withColumn("top_score", F.round("top_score", 6))
+
+
 @query
 def upload_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "upload_request").select("upload_id", F.octet_length(uploads.payload(F.col("content_base64"))).cast("bigint").alias("bytes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions import text as T
 from .operators import route, search
+from .operators.answer import ASKED_ABOUT
 from .operators.memory import REFERRING
 
 W, B = T.SPACE, T.BLANK
@@ -172,7 +173,14 @@ MARKED = _strip(f"regexp_replace(text, '{W}+', ' ', 'g')")
 STARTS, STOPS = _list(("实验原理", "Lab principle", "Procedure")), _list(("操作步骤", "思考题", "Questions", "##"))
 PAYLOAD = f"regexp_replace(CASE WHEN starts_with(lower({_strip('content_base64')}), 'data:') AND contains(content_base64, ',') THEN content_base64[strpos(content_base64, ',') + 1:] ELSE content_base64 END, '[\\r\\n]', '', 'g')"
 
+ABOUT = "coalesce(" + ", ".join(f"CASE WHEN length({x}) BETWEEN 1 AND 30 THEN {x} END" for x in (f"regexp_replace(regexp_extract(query, '{p}', 1), '^[ ？?。]+|[ ？?。]+$', '', 'g')" for p in ASKED_ABOUT)) + ")"
 SQL = {
+    "asked_concepts": f"SELECT query_id, {ABOUT} AS concept FROM ({ASKED}) WHERE query IS NOT NULL",
+    "explanations": f"""WITH f AS (SELECT id AS query_id, concept AS first FROM ({_top_concepts(f"SELECT * FROM ({GIVEN}) WHERE place = 1", "query_id", 1)})),
+        e AS (SELECT query_id, {_compact("t", 420)} AS evidence FROM (SELECT query_id, string_agg(coalesce(text, ''), ' ' ORDER BY place) AS t FROM ({GIVEN}) WHERE place <= 3 GROUP BY 1)),
+        b AS (SELECT DISTINCT query_id FROM ({GIVEN}) WHERE place = 1)
+        SELECT query_id, coalesce({ABOUT}, first, CASE WHEN b.query_id IS NOT NULL THEN '' END, '该概念') AS concept, coalesce(evidence, '') AS evidence
+        FROM ({HIT_QUERIES}) LEFT JOIN f USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN b USING (query_id)""",
     "normalize_documents": f"SELECT doc_id, {_unify('text')} AS text FROM documents",
     "document_ids_titles": f"SELECT doc_id, {_slug('path')} AS slug, CASE WHEN u IS NOT NULL THEN {TITLE} ELSE {_title_case(_strip(f"translate({_stem('path')}, '_-', '  ')"))} END AS heading FROM (SELECT *, {_unify('text')} AS u FROM documents)",
     "document_sections": f"WITH {SECTIONS} SELECT doc_id, sec, title, body FROM section",

@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import catalog, ingest, memory, search, study, tfidf, vectors
-from quillmill.sources import uploads
+from quillmill.operators import answer, catalog, ingest, memory, search, study, tfidf, vectors
+from quillmill.sources import index_store, uploads
 from quillmill.streaming import sessions
 
 
@@ -175,3 +175,22 @@ def test_study(spark: SparkSession) -> None:
     assert study.summaries(hits, queries).count() == 2
     best = spark.createDataFrame([(1, 7), (2, 8)], "query_id int, ord bigint")
     assert tuple(study.retrieval_quality(hits.withColumn("ord", F.lit(5).cast("bigint") + F.col("place")), best).first()) == (2, 0.5, 0.25)
+
+
+def test_answers_from_a_stored_index(spark: SparkSession, tmp_path: Path) -> None:
+    chunks = spark.createDataFrame([(k, f"id{k}", "d", f"t{k}", "RAG 架构" if k == 3 else "s", "f.md", f"检索增强生成 part {k} of the retrieval chain") for k in range(5)], "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    queries = spark.createDataFrame([(1, "s", "什么是检索增强生成？", 2), (2, "s", "再讲讲它", None), (3, None, None, 1)], "query_id bigint, session_id string, query string, top_k int")
+    messages = spark.createDataFrame([("s", 1, "user", "总结 retrieval 的重点")], "session_id string, turn bigint, role string, content string")
+    name, indexes = index_store.open_store(spark, chunks, str(tmp_path / "store"))
+    assert name == "tfidf"
+    found = {r.query_id: r for r in answer.answered(spark, chunks, queries, messages, indexes).collect()}
+    assert sorted(found) == [1, 2]
+    assert (found[1].intent, found[1].concept, found[1].hits) == ("concept_explain", "检索增强生成", 2)
+    assert (found[2].intent, found[2].hits, found[2].weak) == ("summarize", 5, False)
+    assert '"place":1,"id":"id3"' in found[1].citations
+    name, store = index_store.open_store(spark, chunks, str(tmp_path / "store"), "vectors")
+    assert name == "vectors"
+    assert vectors.nearest(store, store.where("vec_id = 2"), 1).first().id == 2
+    assert index_store.chat_content('{"choices": [{"message": {"content": "x"}}]}') == "x"
+    assert index_store.chat_content("oops") is None
+    assert index_store.hits_json(search.search(chunks, queries, indexes)).count() == 2
