@@ -320,12 +320,27 @@ def _marks(cp: np.ndarray) -> np.ndarray:
     return marks
 
 
+def hinted(texts: list[str]) -> np.ndarray:
+    """Which texts have anything that hints at garbling; the others are right as they are.  Texts are looked at together, apart from each other."""
+    if not texts:
+        return np.zeros(0, bool)
+    gap = "\n" * (AROUND + 1)
+    cp, _ = code_points([gap.join((*texts, ""))])
+    ends = np.cumsum([len(s) + len(gap) for s in texts])
+    total = np.r_[0, np.cumsum(_marks(cp))]
+    out = total[ends] > total[np.r_[0, ends[:-1]]]
+    for k, s in enumerate(texts):
+        if not out[k] and (any(x in s for x in LOST) or CONTROL.search(s)):
+            out[k] = True
+    return out
+
+
 def examine(text: str) -> tuple[bool, bool, str, str]:
     """Whether a text is garbled, whether characters are lost, the text restored as far as it goes, and the trips.
 
     What the consistent form of problem 5 mends, such as look-alike letters, is no garbling: a trip has to lower the cost of that form.
     """
-    if not (any(x in text for x in LOST) or CONTROL.search(text) or _marks(code_points([text])[0]).any()):
+    if not hinted([text])[0]:
         return False, False, text, ""
     plain = without_examples(text)
     lost = any(x in plain for x in LOST)
@@ -381,13 +396,12 @@ def _from_bytes(raw: bytes, text: str, left_out: bool) -> str:
 
 def _examine(uploads: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
             kept, found = [], []
-            for r, s in enumerate(b.column(1).to_pylist()):
-                left_out, raw = False, b""
-                if uploads:
-                    s, left_out, raw = read_upload(s)
-                if not left_out and (not s or s.isascii() and CONTROL.search(s) is None):
+            texts = [read_upload(s) if uploads else (s, False, b"") for s in b.column(1).to_pylist()]
+            hints = hinted([s or "" for s, _, _ in texts])
+            for r, (s, left_out, raw) in enumerate(texts):
+                if not (left_out or hints[r]):
                     continue
                 garbled, lost, restored, trips = examine(s)
                 if garbled or left_out:
