@@ -185,24 +185,29 @@ def _orders() -> np.ndarray:
     return np.array([np.arange(BINS) if k == 0 else np.argsort(_mix(np.arange(BINS, dtype=np.uint64) + np.uint64(k << 32))) for k in range(ROUNDS)])
 
 
-def fingerprints(forms: list[str], width: int = WIDTH, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of compact texts (n), one or two of each, with table keys (n, 33), segments' codeword indices (n, 33, 6) and 128-bit sketches (n, 2)."""
+def segments(forms: list[str], width: int = WIDTH, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of compact texts (n), one or two of each, with table keys (n, 33), the segments' 23-bit words (n, 33) and 128-bit sketches (n, 2)."""
     families = _signatures(forms, width, least)
     low = np.concatenate([x for _, x in families])
     family = np.repeat(np.arange(2, dtype=np.uint64), [i.size for i, _ in families])
     mixed = _mix(low * np.uint64(0xD6E8FEB86659FD93) + np.arange(BINS, dtype=np.uint64)[None, :])
-    indices, keys = np.empty((len(low), TABLES, 6), np.int64), np.empty((len(low), TABLES), np.uint64)
+    words, keys = np.empty((len(low), TABLES), np.int64), np.empty((len(low), TABLES), np.uint64)
     for k in range(ROUNDS):  # the first bit of each min-hash, then the third and so on, of bins in another order
         order = _orders()[k]
         bit = (mixed >> np.uint64(k and k + 1) & np.uint64(1)).astype(np.int64)[:, order[: SEGMENTS * BITS]].reshape(-1, SEGMENTS, BITS)
-        words = (bit << np.arange(BITS)).sum(2)
         at = np.arange(SEGMENTS)
-        indices[:, k * SEGMENTS + at] = codeword_indices(words.reshape(-1)).reshape(-1, SEGMENTS, 6)
+        words[:, k * SEGMENTS + at] = (bit << np.arange(BITS)).sum(2)
         a, b = order[(at * BITS + 3 * BITS + 5) % BINS], order[(at * BITS + 7 * BITS + 11) % BINS]
         keys[:, k * SEGMENTS + at] = _mix(_mix(mixed[:, a]) + mixed[:, b] + (k * SEGMENTS + at).astype(np.uint64)[None, :] + family[:, None] * np.uint64(TABLES))
     second = (mixed >> np.uint64(1) & np.uint64(1))[:, ::2].reshape(-1, 64, 2)
     sketch = (second << np.arange(64, dtype=np.uint64)[None, :, None]).sum(1, dtype=np.uint64)
-    return np.concatenate([i for i, _ in families]), keys.view(np.int64) >> 32, indices, sketch.view(np.int64)
+    return np.concatenate([i for i, _ in families]), keys.view(np.int64) >> 32, words, sketch.view(np.int64)
+
+
+def fingerprints(forms: list[str], width: int = WIDTH, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `segments`, but with the codeword indices (n, 33, 6) near each word."""
+    which, keys, words, sketch = segments(forms, width, least)
+    return which, keys, codeword_indices(words.reshape(-1)).reshape(-1, TABLES, 6), sketch
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +227,9 @@ def _tables(width: int, least: float):  # noqa: ANN202
                 there = [(i, f) for (i, _), f in zip(turn, compact([s for _, s in turn]), strict=True) if f]  # of invisible characters only, nothing is left
                 if not there:
                     continue
-                which, keys, indices, sketch = fingerprints([f for _, f in there], width, least)
-                part = np.array([i for i, _ in there], np.int64)[which]
-                n = part.size
-                used = (indices >= 0).reshape(n * TABLES, 6)
-                offsets = np.r_[0, np.cumsum(used.sum(1))].astype(np.int32)
-                values = indices.reshape(n * TABLES, 6)[used].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, TABLES)), pa.array(keys.reshape(-1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *(pa.array(np.repeat(sketch[:, k], TABLES)) for k in range(2))], names=["id", "tab", "near", "s", "t"])
+                which, keys, words, sketch = segments([f for _, f in there], width, least)
+                part = np.repeat(np.array([i for i, _ in there], np.int64)[which], TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys.reshape(-1).astype(np.int32)), pa.array(words.reshape(-1).astype(np.int32)), *(pa.array(np.repeat(sketch[:, k], TABLES)) for k in range(2))], names=["id", "tab", "word", "s", "t"])
 
     return run
 
@@ -275,10 +276,12 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _pairs_within(tab: np.ndarray, ids: np.ndarray, size: np.ndarray, near: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that share a table key and a codeword index, and whose sketches are near."""
-    key = np.repeat(tab.astype(np.int64) << 12, size) | near
-    row = np.repeat(np.arange(ids.size), size)
+def _pairs_within(tab: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that share a table key and a codeword index near their words, and whose sketches are near."""
+    near = codeword_indices(word.astype(np.int64))
+    there = near >= 0
+    key = np.repeat(tab.astype(np.int64) << 12, there.sum(1)) | near[there]
+    row = np.nonzero(there)[0]
     order = np.argsort(key)
     key, row = key[order], row[order]
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -298,21 +301,19 @@ def _pairs_within(tab: np.ndarray, ids: np.ndarray, size: np.ndarray, near: np.n
     return pairs[:, 0], pairs[:, 1]
 
 
-PAIR_SCHEMA = "a bigint, b bigint, id bigint, tab int, near array<smallint>, s bigint, t bigint"
+TABLE_SCHEMA = "id bigint, tab int, word int, s bigint, t bigint"
+PAIR_SCHEMA = f"a bigint, b bigint, {TABLE_SCHEMA}"
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by table key to pairs.  A table of more than GROUP rows is handed on as it is, so that no task holds more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("tab", pa.int32()), ("near", pa.list_(pa.int16())), ("s", pa.int64()), ("t", pa.int64())])
-    names = ["id", "tab", "near", "s", "t"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("tab", pa.int32()), ("word", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
+    names = ["id", "tab", "word", "s", "t"]
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        near = rows["near"].combine_chunks()
-        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
-        values = near.flatten().to_numpy().astype(np.int64)
         sketch = np.stack([rows["s"].to_numpy(), rows["t"].to_numpy()], 1).view(np.uint64)
-        a, b = _pairs_within(rows["tab"].to_numpy(), rows["id"].to_numpy(), near.value_lengths().to_numpy().astype(np.int64), values, sketch)
+        a, b = _pairs_within(rows["tab"].to_numpy(), rows["id"].to_numpy(), rows["word"].to_numpy(), sketch)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(a.size, t) for t in schema.types[2:])], schema=schema)
 
     def handed_on(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -345,16 +346,24 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        near = codeword_indices(b.column(2).to_numpy().astype(np.int64))
+        row, at = np.nonzero(near >= 0)
+        part = b.take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near[row, at].astype(np.int32)), part.column(3), part.column(4)], names=["id", "tab", "near", "s", "t"])
+
+
 def candidate_pairs(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Pairs ``(a, b)`` of ids of ``texts(id, text)`` that share a table key and a codeword index in it, and whose sketches are near.
 
-    Rows are shuffled once, by table key, and paired within it; codeword indices are only unfolded in memory.  Rows of tables that are too large for that are
+    Rows are shuffled once, by table key, and paired within it; words are decoded to codeword indices in memory.  Rows of tables that are too large for that are
     unfolded and joined by both, which spreads them over as many tasks as there are indices.
     """
-    tab = texts.mapInArrow(_tables(width, least), "id bigint, tab int, near array<smallint>, s bigint, t bigint")
+    tab = texts.mapInArrow(_tables(width, least), TABLE_SCHEMA)
     tab = tab.repartition(ROUNDS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tab").sortWithinPartitions("tab")
     found = cut(tab.mapInArrow(_paired, PAIR_SCHEMA))
-    near = found.where("id IS NOT NULL").select("id", "tab", F.explode("near").alias("near"), "s", "t")
+    near = found.where("id IS NOT NULL").select("id", "tab", "word", "s", "t").mapInArrow(_unfolded, "id bigint, tab int, near int, s bigint, t bigint")
     x, y = near.alias("x"), near.alias("y")
     far = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
     on = (F.col("x.tab") == F.col("y.tab")) & (F.col("x.near") == F.col("y.near")) & (F.col("x.id") < F.col("y.id")) & (far <= SKETCH_MOST)
