@@ -51,6 +51,10 @@ SUMS = ("chars", "spaces", "letters", "upper", "digits", "cjk", "words", "word_c
 MOST = ("longest_word",)
 
 
+#: Of each value of bits, which of the five are set.
+OF_BIT = np.array([[k >> bit & 1 for bit in range(5)] for k in range(32)])
+
+
 @lru_cache(1)
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
     """Bits of every code point (1 space, 2 letter, 4 upper case, 8 digit, 16 Chinese), and the place of marks in MARKS."""
@@ -104,7 +108,7 @@ class Counts:
         bits, mark = _kinds()
         cp, _ = code_points([text])
         kinds, marks = np.bincount(bits[cp], minlength=32), np.bincount(mark[cp], minlength=len(MARKS) + 1)
-        spaces, letters, upper, digits, cjk = (int(kinds[[k for k in range(32) if k & bit]].sum()) for bit in (1, 2, 4, 8, 16))
+        spaces, letters, upper, digits, cjk = (kinds @ OF_BIT).tolist()
         latin = TOKEN.findall(text.lower())
         sizes = [len(w) for w in latin]
         common = sum(map(words[0].__contains__, latin)) + (sum(map(text.count, words[1])) if cjk else 0)
@@ -145,7 +149,7 @@ class Counts:
     def vector(self) -> np.ndarray:
         """All counts, the text being complete."""
         edge = self.inner + line_counts(self.head) + (line_counts(self.tail) if self.broken else 0)
-        return np.r_[self.sums, edge, self.longest]
+        return np.concatenate((self.sums, edge, (self.longest,)))
 
     def dump(self) -> bytes:
         return pickle.dumps([getattr(self, k) for k in self.__slots__])
