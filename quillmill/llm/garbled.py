@@ -53,6 +53,8 @@ WINDOW = 1 << 16
 LEAST_DROP = 0.5
 
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\x9f\ue000-\uf8ff]")
+#: Garbled letters whose second half isn't seen, so that the consistent form drops it.
+UNSEEN = re.compile("[ÃÂ][\xa0\xad]")
 QUOTED = re.compile(r"(?:“([^“”\n]{1,24}?)”|‘([^‘’\n]{1,24}?)’|「([^「」\n]{1,24}?)」|『([^『』\n]{1,24}?)』|\"([^\"\n]{1,24}?)\"|`([^`\n]{1,24}?)`|（([^（）\n]{1,12}?)）)")
 UTF8_RUN = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\x00-\x09\x0b-\x7f])*")
 
@@ -347,8 +349,9 @@ def examine(text: str) -> tuple[bool, bool, str, str]:
     odd = CONTROL.search(plain) is not None
     path: list[str] = []
     same = consistent([plain])[0]
-    if _marks(code_points([same])[0]).any():
-        least, restored = cost(same), []
+    unseen = UNSEEN.search(plain) is not None
+    if unseen or _marks(code_points([same])[0]).any():
+        least, restored = cost(plain if unseen else same), []
         for at in range(0, len(plain), WINDOW):
             new, trips = repair(plain[at : at + WINDOW])
             restored.append(new)

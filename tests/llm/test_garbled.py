@@ -13,7 +13,7 @@ ZH = "助教统计了一百份作业，大多数人混淆了边界条件与初
 FR = "La référence citée précède le modèle détaillé ; l’élève doit vérifier les unités à l’étape suivante."
 
 
-@pytest.mark.parametrize(("text", "steps"), [(ZH, ["utf-8", "latin-1"]), (ZH, ["gb18030", "latin-1"]), (FR, ["utf-8", "cp1252"]), (FR, ["utf-8", "cp1252", "utf-8", "cp1252"]), (FR, ["cp1252", "gb18030"]), (ZH.replace("，", ","), ["utf-8", "mac-roman"])])
+@pytest.mark.parametrize(("text", "steps"), [(ZH, ["utf-8", "latin-1"]), (ZH, ["gb18030", "latin-1"]), (FR, ["utf-8", "cp1252"]), (FR, ["utf-8", "cp1252", "utf-8", "cp1252"]), (FR, ["cp1252", "gb18030"]), (ZH.replace("，", ","), ["utf-8", "mac-roman"]), ("the Míflonel scheme", ["utf-8", "cp1252"]), ("difficile à dire", ["utf-8", "cp1252"])])
 def test_round_trips(text: str, steps: list[str]) -> None:
     wrong = text
     for right, mistaken in zip(steps[::2], steps[1::2], strict=True):
