@@ -55,12 +55,15 @@ SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%=?[^%\n]{0,60}%>|%[^\W\d][\w.]{1,40}%|\[\[[^\[\]\n]{1,60}\]\]|@@[^@\n]{1,60}@@|__[A-Z][A-Z_]{1,40}__"
     r"|<(?:insert|enter|your|add|fill in|nom|name|hier|insérer)\b[^<>\n]{0,60}>|<[^<>\n]{0,20}(?:填写|填入|待补充)[^<>\n]{0,20}>|(?<![A-Za-z0-9$#{])\{[^\W\d][^{}\n:;=()\"']{1,40}\}"
     r"|[（(\[【](?:此处|在此|请在此|待)[^()（）\n]{0,30}[）)\]】]|X{2,}年X{1,}月(?:X{1,}日)?|X{2,}[/.-]X{2,}[/.-](?:20)?X{2,}|(?<![A-Za-z])(?:TBD|TODO|FIXME|TBA)(?![A-Za-z])|待补充|待填写"
+    r"|×{2,}|(?<![A-Za-z])(?i:change[ _-]?me|your (?:title|name|text|content)(?: goes)? here|(?:insert|add|enter) (?:title|name|text|content) here)(?![A-Za-z])"
     r"|«[^\W\d]\w*[._]\w+»|«[一-鿿]{2,12}»|<[A-Z][A-Z_]{2,30}>|<[一-鿿]{2,12}>"
 )
 #: A label or a greeting with nothing but a bracketed word behind it.
 LABEL = re.compile(r"(?:[^\W\d_][^:：\n]{0,16}[:：]|Welcome to|Dear|Hallo|Bonjour|Liebe[r]?|欢迎选修|欢迎|尊敬的)\s*(?:\[[^\W\d][^\[\]\n]{1,40}\]|【[^\W\d][^【】\n]{1,40}】|__[^\W\d][\w.]{1,40}__|<[^\W\d][^<>\n]{1,40}>|«\s?[^\W\d][^«»\n]{1,40}»|\{[^\W\d][^{}\n]{1,40}\})[.!。！]?")
+#: Filler that says one thing over and over.
+AGAIN = re.compile(r"(\D{2,18}?)\1{4,}.{0,18}")
 #: Characters without which there is no unfilled place.
-OPEN = re.compile(r"[\[\]{}<>«»%@_（(【]|XX|TBD|TODO|FIXME|TBA|待补充|待填写")
+OPEN = re.compile(r"[\[\]{}<>«»%@_（(【]|××|XX|TBD|TODO|FIXME|TBA|待补充|待填写|(?i:change[ _-]?me| here)")
 #: Beginnings of the words of the usual filler text.
 FILLER = frozenset("lore ipsu dolo sit amet cons sadi adip elit sed diam nonu eirm temp invi ut labo et magn aliq erat volu at vero eos accu just duo duor ea rebu stet clit kasd gube no sea taki sanc est eosa".split())
 
@@ -228,6 +231,9 @@ def trusted(unit: str) -> bool:
         rest = SLOT.sub(" ", unit)
         if len(HAN.findall(rest)) <= 12 and len(re.findall(r"[^\W\d_㐀-鿿]+", rest)) <= 8 and not re.search(r"[，,][^\n]{6,}", rest):
             return True
+    again = AGAIN.fullmatch(unit)
+    if again and len(set(filter(str.isalpha, again[1]))) > 1:
+        return True
     if not unit[:32].isascii():
         return False
     words = re.findall(r"[a-z]+", unit.lower())

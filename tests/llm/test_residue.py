@@ -40,6 +40,8 @@ def test_units_that_differ_in_few_bits_share_a_changed_band() -> None:
 def test_rules() -> None:
     assert not trusted(TEACHING)
     assert trusted("Due: TBD – fill in before release")
+    assert all(map(trusted, ["Due: CHANGEME", "Dear Your title goes here", "欢迎选修××学院××班", "文字" * 9, "blah " * 12 + "bl", "此处为示例文字" * 5]))
+    assert not any(map(trusted, ["| --- | --- | --- | --- | --- |", "a" * 40, "2 × 3 × 4", "See here", "ha ha ha"]))
     assert units("- a\r\n\n# b\n1. c") == ["a", "b", "c"]
     keys, sims = keys_and_simhashes([frozenset("abc"), frozenset("cab"), frozenset("abd"), frozenset()])
     assert keys[0] == keys[1] != keys[2]
