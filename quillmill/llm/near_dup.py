@@ -86,9 +86,12 @@ def codeword_indices(words: np.ndarray) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    x = x ^ x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _run_hashes(cp: np.ndarray, width: int) -> np.ndarray:
@@ -114,10 +117,11 @@ def _turns(forms: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarra
     def turn() -> tuple[np.ndarray, np.ndarray]:
         cp, size = code_points(parts)
         h = _run_hashes(cp, width)
-        begin = np.cumsum(size) - size
-        row = np.repeat(np.arange(size.size), size)
-        inside = np.arange(cp.size) - begin[row] <= np.maximum(size - width, 0)[row]
-        return np.asarray(ids)[row[inside]], h[inside]
+        end = np.cumsum(size)  # each part has at least one run
+        inside = np.ones(cp.size, bool)
+        for k in range(1, width):
+            inside[end - k] = False
+        return np.repeat(np.asarray(ids), size - width + 1), h[inside]
 
     held = 0
     for i, s in enumerate(forms):
@@ -141,14 +145,14 @@ def _filled(low: np.ndarray) -> np.ndarray:
     """Empty bins take the min-hash of another bin of their row, chosen by hash."""
     empty = low == EMPTY
     full = ~empty
+    rows, bins = np.nonzero(empty)
     for turn_no in range(1, 200):
-        rows, bins = np.nonzero(empty)
         if not rows.size:
             break
-        source = (_mix((bins * 1000 + turn_no).astype(np.uint64)) % np.uint64(BINS)).astype(np.int64)
+        source = (_mix((np.arange(BINS) * 1000 + turn_no).astype(np.uint64)) % np.uint64(BINS)).astype(np.int64)[bins]
         good = full[rows, source]
         low[rows[good], bins[good]] = low[rows[good], source[good]]
-        empty[rows[good], bins[good]] = False
+        rows, bins = rows[~good], bins[~good]
     return low
 
 
@@ -234,8 +238,26 @@ def _tables(width: int, least: float):  # noqa: ANN202
     return run
 
 
+def _distinct_runs(forms: list[str], width: int) -> list[np.ndarray]:
+    """The sorted distinct run hashes of each text."""
+    found: list[list[np.ndarray]] = [[] for _ in forms]
+    for i, h in _turns(forms, width):
+        begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])  # the rows of a text stand together in a turn
+        for k, at, end in zip(i[begin].tolist(), begin.tolist(), np.r_[begin[1:], i.size].tolist(), strict=True):
+            found[k].append(h[at:end])
+    return [_sorted_distinct(np.concatenate(x) if len(x) > 1 else x[0]) if x else np.zeros(0, np.uint64) for x in found]
+
+
+def _sorted_distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.empty(h.size, bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def _verify(width: int, least: float):  # noqa: ANN202
-    """Exact similarity: each text of a batch is hashed once, and pairs compare sets of 64-bit run hashes."""
+    """Exact similarity: each text of a batch is hashed once, and pairs compare sorted arrays of distinct 64-bit run hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
@@ -243,21 +265,15 @@ def _verify(width: int, least: float):  # noqa: ANN202
             known = dict(zip(a_ids, texts_a, strict=True))
             known |= dict(zip(b_ids, texts_b, strict=True))
             place = {i: k for k, i in enumerate(known)}
-            runs: list[set[int]] = [set() for _ in known]
-            for i, h in _turns(compact(list(known.values())), width):
-                order = np.argsort(i, kind="stable")
-                i, h = i[order], h[order]
-                ends = np.r_[np.flatnonzero(np.diff(i)) + 1, i.size].tolist()
-                at = 0
-                for end in ends:
-                    runs[i[at]].update(h[at:end].tolist())
-                    at = end
+            runs = _distinct_runs(compact(list(known.values())), width)
             out_a, out_b, out_j = [], [], []
             for x, y in zip(a_ids, b_ids, strict=True):
                 one, other = runs[place[x]], runs[place[y]]
-                if len(other) * least <= len(one) + 1e-9 and len(one) * least <= len(other) + 1e-9:
-                    common = len(one & other)
-                    j = common / (len(one) + len(other) - common)
+                if other.size * least <= one.size + 1e-9 and one.size * least <= other.size + 1e-9:
+                    both = np.concatenate([one, other])
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    j = common / (both.size - common)
                     if j >= least - 1e-12:
                         out_a.append(x), out_b.append(y), out_j.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], names=["a", "b", "similarity"])

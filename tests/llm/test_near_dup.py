@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import SparkSession
 
+from quillmill.llm import near_dup
 from quillmill.llm.near_dup import BITS, LEAST, SKETCH_MOST, WIDTH, codeword_indices, compact, fingerprints, near_duplicate_pairs
 
 
@@ -90,3 +91,15 @@ def test_tables_beyond_the_bound_are_joined(spark: SparkSession, monkeypatch) ->
     monkeypatch.setattr("quillmill.llm.near_dup.GROUP", 10**9)
     whole = {(x, y) for b in near_dup._paired(iter(every.to_batches(max_chunksize=50))) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     assert pairs < whole
+
+
+def test_sorted_runs_of_texts_of_any_length(monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(near_dup, "PART", 64)  # longer texts come in several turns
+    rng = random.Random(5)
+    forms = ["", "abc", "abcde", "a" * 9, *("".join(rng.choice("abcd") for _ in range(n)) for n in (6, 63, 64, 65, 300))]
+    found = near_dup._distinct_runs(forms, 5)
+    whole = near_dup._run_hashes
+    for s, h in zip(forms, found, strict=True):
+        runs = {s[k : k + 5] for k in range(max(1, len(s) - 4))} if s else set()
+        cp = [np.frombuffer(r.encode("utf-32-le"), np.uint32) for r in runs]
+        assert h.tolist() == sorted(int(whole(c, 5)[0]) for c in cp)
