@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import answer, catalog, ingest, memory, search, study, tfidf, vectors
+from quillmill.operators import answer, catalog, ingest, memory, scan, search, study, tfidf, vectors
 from quillmill.sources import index_store, uploads
 from quillmill.streaming import sessions
 
@@ -194,3 +194,27 @@ def test_answers_from_a_stored_index(spark: SparkSession, tmp_path: Path) -> Non
     assert index_store.chat_content('{"choices": [{"message": {"content": "x"}}]}') == "x"
     assert index_store.chat_content("oops") is None
     assert index_store.hits_json(search.search(chunks, queries, indexes)).count() == 2
+
+
+def test_terms_by_hash_are_those_of_the_spaces() -> None:
+    rng = random.Random(4)
+    texts = ["", "a", "--", "-a--b- -", "a  b　 c", "İß ŞA_9-é", "\n\n", "x\ty", "中文 中", *("".join(rng.choice("aB -_\n\t　中é") for _ in range(rng.randrange(60))) for _ in range(200))]
+    for space, c in scan.term_hashes(texts).items():
+        counts = [Counter(tfidf.SPACES[space](s)) for s in texts]
+        rows = Counter(t for x in counts for t in x)
+        assert sorted(c.n.tolist()) == sorted(rows.values()) and len(set(c.h.tolist())) == len(rows)
+        assert sorted(zip(c.row.tolist(), c.tf.tolist(), strict=True)) == sorted((k, n) for k, x in enumerate(counts) for n in x.values())
+
+
+def test_scans_give_the_hits_of_the_indexes(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(scan, "COMMON", 2)
+    rng = random.Random(6)
+    words = ["rag", "agent", "storage", "lock", "page", "数据库", "事务", "fault", "rank"]
+    rows = [(k, f"{k}", "d", "title " + rng.choice(words), rng.choice(words), "s", None if k == 7 else " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for k in range(150)]
+    chunks = spark.createDataFrame([*rows, *((k + 150, *r[1:]) for k, r in enumerate(rows[:60]))], "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    queries = spark.createDataFrame([(1, "rag page", 2), (2, "什么是事务", 12), (3, "lock rank storage", None), (4, "zzqq", 3), (5, None, 3)], "query_id bigint, query string, top_k int")
+    terms = search.for_batch(chunks)
+    assert isinstance(terms, scan.Terms)
+    columns = ("query_id", "place", "ord", *(F.round(c, 9) for c in ("score", "vector_score", "keyword_score", "title_score")))
+    one, other = (sorted(map(tuple, search.search(chunks, queries, x).select(*columns).collect())) for x in (terms, search.build(chunks)))
+    assert one == other and {r[0] for r in one} == {1, 2, 3, 4}
