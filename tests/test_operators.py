@@ -218,3 +218,35 @@ def test_scans_give_the_hits_of_the_indexes(spark: SparkSession, monkeypatch) ->
     columns = ("query_id", "place", "ord", *(F.round(c, 9) for c in ("score", "vector_score", "keyword_score", "title_score")))
     one, other = (sorted(map(tuple, search.search(chunks, queries, x).select(*columns).collect())) for x in (terms, search.build(chunks)))
     assert one == other and {r[0] for r in one} == {1, 2, 3, 4}
+
+
+def test_scores_where_few_terms_fit_into_memory(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("rag", "lock", "页面", "rank", "q") for b in range(30)]
+    rows = [(k, f"{k}", "d", "title", rng.choice(words), "s", " ".join(rng.choice(words) for _ in range(1 + rng.randrange(25)))) for k in range(400)]
+    chunks = spark.createDataFrame([*rows, *((k + 400, *r[1:]) for k, r in enumerate(rows[:90]))], "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    queries = search.prepared(spark.createDataFrame([(1, "rag7 page", 2), (2, "页面3 页面4", 12), (3, "lock1 rank2 q3", None), (4, "zz", 3)], "query_id bigint, query string, top_k int"))
+
+    def found(x: object) -> list[tuple]:
+        return sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect()))
+
+    expected = found(search.build(chunks))
+    for most, rows_most in ((400, 1_000_000), (60, 0), (0, 1_000_000)):
+        monkeypatch.setattr(scan, "VOCAB_MOST", most)
+        monkeypatch.setattr(scan, "ROWS_MOST", rows_most)
+        terms = search.for_batch(chunks)
+        assert isinstance(terms, scan.Terms) and terms.least > 2
+        assert found(terms) == expected
+
+
+def test_later_batches_use_the_norms_of_the_first(spark: SparkSession) -> None:
+    rng = random.Random(12)
+    words = ["rag", "agent", "storage", "lock", "page", "数据库", "事务", "İx", "rank"]
+    chunks = spark.createDataFrame([(999 - k, f"{k}", "d", "title", rng.choice(words), "s", None if k == 7 else " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for k in range(300)], "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    first, second = ([(1, "rag page", 2), (2, "什么是事务", 12)], [(5, "İx storage 事务", None), (6, "lock zzqq rank", 3), (7, "zzqq", 1)])
+    terms, other = search.for_batch(chunks, again=True), search.build(chunks)
+    for rows in (first, second):
+        queries = search.prepared(spark.createDataFrame(rows, "query_id bigint, query string, top_k int"))
+        one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (terms, other))
+        assert one == two
+        assert terms.norms[0].tolist() == list(range(700, 1000))
