@@ -10,6 +10,7 @@ import zipfile
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -250,3 +251,17 @@ def test_later_batches_use_the_norms_of_the_first(spark: SparkSession) -> None:
         one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (terms, other))
         assert one == two
         assert terms.norms[0].tolist() == list(range(700, 1000))
+
+
+def test_equal_questions_and_terms_of_the_same_questions_are_weighed_once(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    t, q, w = np.array([3, 3, 5, 5, 8, 9, 9]), np.array([0, 2, 0, 2, 2, 0, 2]), np.array([1.0, 2, 1, 2, 2, 1, 1])
+    term, group, begin, count = scan._grouped(t, q, w)
+    assert [x.tolist() for x in (term, group, begin, count)] == [[3, 5, 8, 9], [0, 0, 1, 2], [0, 4, 5], [2, 1, 2]]
+    scored = []
+    monkeypatch.setattr(scan, "term_hashes", lambda x, *more, f=scan.term_hashes: scored.extend(x) or f(x, *more))
+    rows = [(k, f"{k}", "d", "t", "s", "s", f"lock {'rank' if k % 3 else 'page'} {k % 7}") for k in range(60)]
+    chunks = spark.createDataFrame(rows, "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    queries = search.prepared(spark.createDataFrame([(1, "lock rank", 1), (2, "page 5", 12), (3, "lock rank", 12), (4, "lock rank", None)], "query_id bigint, query string, top_k int"))
+    one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (search.for_batch(chunks), search.build(chunks)))
+    assert one == two and Counter(r[0] for r in one) == {1: 24, 2: 48, 3: 48, 4: 24}
+    assert sorted(scored) == ["lock rank", "page 5"]
