@@ -265,3 +265,16 @@ def test_equal_questions_and_terms_of_the_same_questions_are_weighed_once(spark:
     one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (search.for_batch(chunks), search.build(chunks)))
     assert one == two and Counter(r[0] for r in one) == {1: 24, 2: 48, 3: 48, 4: 24}
     assert sorted(scored) == ["lock rank", "page 5"]
+
+
+def test_later_batches_use_bounded_norms_where_few_terms_fit(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(scan, "VOCAB_MOST", 60)
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in ("rag", "lock", "页面", "q") for b in range(20)]
+    chunks = spark.createDataFrame([(499 - k, f"{k}", "d", "t", rng.choice(words), "s", " ".join(rng.choice(words) for _ in range(1 + rng.randrange(15)))) for k in range(200)], "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    terms, other = search.for_batch(chunks, again=True), search.build(chunks)
+    for rows in ([(1, "rag7 page", 2), (2, "页面3", 12)], [(5, "lock1 q3", None), (6, "zz 页面4", 3), (7, "lock1 q3", 1)]):
+        queries = search.prepared(spark.createDataFrame(rows, "query_id bigint, query string, top_k int"))
+        one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (terms, other))
+        assert one == two
+        assert terms.least > 2 and terms.norms[0].tolist() == list(range(300, 500)) and terms.norms[3].max() > 1
