@@ -11,10 +11,14 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import answer, catalog, ingest, memory, scan, search, study, tfidf, vectors
+from quillmill.queries import QUERIES
+from quillmill.queries_sql import SQL
 from quillmill.sources import index_store, uploads
 from quillmill.streaming import sessions
 
@@ -278,3 +282,33 @@ def test_later_batches_use_bounded_norms_where_few_terms_fit(spark: SparkSession
         one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (terms, other))
         assert one == two
         assert terms.least > 2 and terms.norms[0].tolist() == list(range(300, 500)) and terms.norms[3].max() > 1
+
+
+def tables(spark: SparkSession, folder: Path) -> str:
+    rows = [(k, f"id{k}", "d", f"t{k % 5}", "s", "f.md", f"lock {'rank' if k % 3 else 'page'} {k % 7} 检索增强生成") for k in range(60)]
+    spark.createDataFrame(rows, "ord bigint, id string, doc_id string, title string, section string, source string, text string").write.parquet(f"{folder}/chunk.parquet")
+    asks = [(1, "lock rank", 1, "a"), (7, "总结 zzqq", 3, "b"), (99, "lock rank", 1, "b"), (100, "什么是检索增强生成", None, None), (101, None, 3, "a"), (250, "再讲讲它", 3, "a")]
+    spark.createDataFrame(asks, "ask_id bigint, query string, top_k int, session_id string").write.parquet(f"{folder}/ask_request.parquet")
+    spark.createDataFrame([("a", 1, "user", "page 5")], "session_id string, turn bigint, role string, content string").write.parquet(f"{folder}/session_message.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["cited_hits"])
+def test_all_questions_are_searched(spark: SparkSession, tmp_path: Path, name: str) -> None:
+    found = QUERIES[name](spark, tables(spark, tmp_path)).collect()
+    assert {r.query_id for r in found} == {1, 7, 99, 100, 250}
+    one, same = ([tuple(r)[1:] for r in sorted(found) if r.query_id == k] for k in (1, 99))
+    assert one and one == same
+
+
+def test_sql_of_cited_hits_has_all_questions_and_others_their_own() -> None:
+    assert "% 100" not in SQL["cited_hits"] and all("query_id % 100 = 0" in SQL[n] for n in ("search_hits", "vector_top", "term_matches", "word_cosines"))
+
+
+def test_others_of_one_set_of_terms_leave_out_the_candidates_of_each_query(spark: SparkSession) -> None:
+    queries = [(5, ["lock", "rank"], 2), (6, ["rank", "lock"], 1), (7, ["page"], 3)]
+    texts = ["lock rank", "rank", "page lock", "lock rank", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array(["lock", "", "", "", ""])], names=["ord", "text", "names"])
+    held = np.array([0, 3, 4]), np.array([0, 1, 2])
+    found = sorted((r["query_id"], r["ord"], r["keyword_score"]) for b in search._matches(queries, held)(iter([batch])) for r in b.to_pylist())
+    assert found == [(5, 0, 1.0), (5, 1, 0.5), (5, 3, 1.0), (6, 0, 1.0), (6, 3, 1.0), (7, 2, 1.0)]
