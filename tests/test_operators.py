@@ -293,7 +293,7 @@ def tables(spark: SparkSession, folder: Path) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["cited_hits", "answers"])
+@pytest.mark.parametrize("name", ["cited_hits", "answers", "fallback_hits"])
 def test_all_questions_are_searched(spark: SparkSession, tmp_path: Path, name: str) -> None:
     found = QUERIES[name](spark, tables(spark, tmp_path)).collect()
     assert {r.query_id for r in found} == {1, 7, 99, 100, 250}
