@@ -312,3 +312,21 @@ def test_others_of_one_set_of_terms_leave_out_the_candidates_of_each_query(spark
     held = np.array([0, 3, 4]), np.array([0, 1, 2])
     found = sorted((r["query_id"], r["ord"], r["keyword_score"]) for b in search._matches(queries, held)(iter([batch])) for r in b.to_pylist())
     assert found == [(5, 0, 1.0), (5, 1, 0.5), (5, 3, 1.0), (6, 0, 1.0), (6, 3, 1.0), (7, 2, 1.0)]
+
+
+def test_later_batches_of_many_rows_keep_no_norms(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    assert scan.NORMS_MOST <= 1_000_000
+    monkeypatch.setattr(scan, "NORMS_MOST", 50)
+    rows = [(k, f"{k}", "d", "t", "s", "s", f"lock {'rank' if k % 3 else 'page'} {k % 7}") for k in range(60)]
+    chunks = spark.createDataFrame(rows, "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    terms, other = search.for_batch(chunks, again=True), search.build(chunks)
+    for ask in ("lock rank", "page 5 zz"):
+        queries = search.prepared(spark.createDataFrame([(1, ask, 2)], "query_id bigint, query string, top_k int"))
+        one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (terms, other))
+        assert one == two and terms.norms is None
+
+
+def test_terms_are_held_once_in_a_worker() -> None:
+    h = scan.ended(np.array([3, 1 << 40, (1 << 56) - 1], np.uint64))
+    table = scan.Table(h)
+    assert table.h is h and table.find(np.array([3, 4, 1 << 40, (1 << 56) - 1, (1 << 56) - 2], np.uint64)).tolist() == [0, -1, 1, 2, -1]
