@@ -330,3 +330,12 @@ def test_terms_are_held_once_in_a_worker() -> None:
     h = scan.ended(np.array([3, 1 << 40, (1 << 56) - 1], np.uint64))
     table = scan.Table(h)
     assert table.h is h and table.find(np.array([3, 4, 1 << 40, (1 << 56) - 1, (1 << 56) - 2], np.uint64)).tolist() == [0, -1, 1, 2, -1]
+
+
+def test_scores_of_many_queries_are_added_up_row_by_row(spark: SparkSession, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(scan, "LONG", 1)
+    rows = [(k, f"{k}", "d", "t", "s", "s", "" if k == 5 else f"lock {'rank' if k % 3 else 'page'} {k % 7}") for k in range(60)]
+    chunks = spark.createDataFrame(rows, "ord bigint, id string, doc_id string, title string, section string, source string, text string")
+    queries = search.prepared(spark.createDataFrame([(1, "lock rank", 2), (2, "page 5 zz", 12), (3, "yy", 1)], "query_id bigint, query string, top_k int"))
+    one, two = (sorted(map(tuple, search.vector_candidates(x, chunks, queries).select("query_id", "ord", F.round("vector_score", 9)).collect())) for x in (search.for_batch(chunks), search.build(chunks)))
+    assert one == two and {r[0] for r in one} == {1, 2, 3}
